@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op7_exact, op9_bpe
+from . import op2_mix, op7_exact, op9_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix.query,
     "op7_exact_dedup": op7_exact.query,
     "op9_byte_bpe": op9_bpe.query,
 }
