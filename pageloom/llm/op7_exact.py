@@ -22,6 +22,8 @@ from .common import crc_of, table, text_of, written
 
 #: Distinct digests of a shard on average: what a task holds.
 PER_SHARD = 1 << 16
+#: As many digests of eight bytes are broadcast at most (16 MB); more of them are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -147,34 +149,35 @@ def classes(rows: DataFrame) -> DataFrame:
     return bucket.unionByName(false_alarms).unionByName(fresh)
 
 
-def dedup(docs: DataFrame, incoming: Callable[[str], Column] | None = None) -> DataFrame:
+def _sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _short(digest: str) -> Column:
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def dedup(docs: DataFrame, incoming: Callable[[str], Column] | None = None, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row. incoming: which rows are not of the snapshot, from
     the name of the id column; by default every other id by its checksum, so that one table plays both parts."""
     incoming = incoming or (lambda name: F.pmod(crc_of(name), F.lit(2)) == 1)
-    own = docs.select("doc_id", text_of().alias("text"))
-    rows = written(own.select("doc_id", F.sha2("text", 256).alias("digest"), incoming("doc_id").alias("incoming")))
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("digest", digest(F.col("text")))
+    rows = written(texts.select("doc_id", "digest", incoming("doc_id").alias("incoming"), F.sha2("text", 256).alias("text_sha256")))
     found = written(classes(rows).filter("group_size > 1"))
-    # Bytes of all that share a digest against the row that stays.
-    texts = own.withColumn("digest", F.sha2("text", 256))
-    lasts = found.select("digest", F.col("keep_id").alias("last_id"))
-    kept = texts.join(lasts, (texts.doc_id.eqNullSafe(lasts.last_id)) & (texts.digest == lasts.digest)).select(lasts.digest, F.col("text").alias("kept_text")).dropDuplicates(["digest"])
-    odd = written(texts.join(kept, "digest").filter("text != kept_text").select("doc_id", "digest", "text"))
-    groups = odd.groupBy("digest", "text").agg(F.max("doc_id").alias("odd_id"), F.count(F.lit(1)).alias("odd_n"))
-    if odd.isEmpty():
-        result = rows.join(found, "digest", "left")
-    else:  # texts that differ under one digest: each text is a class of its own
-        apart = odd.join(groups, ["digest", "text"]).select("doc_id", "digest", "odd_id", "odd_n")
-        less = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
-        result = rows.join(found, "digest", "left").join(apart, ["doc_id", "digest"], "left").join(less, "digest", "left")
-        result = result.withColumn("keep_id", F.coalesce("odd_id", "keep_id")).withColumn("group_size", F.coalesce(F.col("odd_n"), F.col("group_size") - F.coalesce("less", F.lit(0))))
-    keep = F.coalesce("keep_id", "doc_id")
-    return result.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
+    # The texts of buckets with several rows, and no others, travel for the comparison of bytes.
+    shorts = found.select(_short("digest").alias("short")).distinct()
+    if found.count() <= BROADCAST_ROWS:
+        shorts = F.broadcast(shorts)
+    several = texts.withColumn("short", _short("digest")).join(shorts, "short", "left_semi").drop("short")
+    one = several.groupBy("digest").agg(F.max("text").alias("other"))
+    mixed = written(several.join(one, "digest").filter("text != other").select("digest").distinct())
+    result = rows.join(found, "digest", "left").select("doc_id", "digest", "text_sha256", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
+    if not mixed.isEmpty():  # different texts under one digest: each text is a class of its own
+        result = result.join(mixed, "digest", "left_anti")
+        torn = several.join(mixed, "digest", "left_semi")
+        groups = torn.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        result = result.unionByName(torn.join(groups, ["digest", "text"]).select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
+    return result.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
