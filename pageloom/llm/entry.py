@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_mix, op7_exact, op9_bpe
+from . import op2_mix, op7_exact, op9_bpe, op10_toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix.query,
     "op7_exact_dedup": op7_exact.query,
     "op9_byte_bpe": op9_bpe.query,
+    "op10_toxicity": op10_toxic.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
