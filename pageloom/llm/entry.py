@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_mix, op4_near, op7_exact, op9_bpe, op10_toxic
+from . import op2_mix, op4_near, op6_imatch, op7_exact, op9_bpe, op10_toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix.query,
     "op4_near_dedup": op4_near.query,
+    "op6_imatch": op6_imatch.query,
     "op7_exact_dedup": op7_exact.query,
     "op9_byte_bpe": op9_bpe.query,
     "op10_toxicity": op10_toxic.query,
