@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_mix, op3_lm, op4_near, op6_imatch, op7_exact, op9_bpe, op10_toxic
+from . import op1_pii, op2_mix, op3_lm, op4_near, op6_imatch, op7_exact, op9_bpe, op10_toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii.query,
     "op2_mix": op2_mix.query,
     "op3_context_mixing": op3_lm.query,
     "op4_near_dedup": op4_near.query,
