@@ -253,7 +253,7 @@ def train(spark: SparkSession) -> Model:
     rows.sort(key=lambda r: (r.i, r.c.start, r.c.end, r.c.kind))
     x = np.array([[r.c[f] for f in FEATURES] for r in rows])
     y = np.array([r.c.kind == made[r.i][3] and (r.c.start, r.c.end) == made[r.i][1:3] for r in rows], float)
-    unseen = np.array([r.i % 4 == 3 for r in rows])
+    unseen = np.array([(r.i * 2654435761 >> 7) % 4 == 3 for r in rows])  # of each form some
     margin, trees = np.zeros(len(x)), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
