@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_pii, op2_mix, op3_lm, op4_near, op6_imatch, op7_exact, op9_bpe, op10_toxic
+from . import op1_pii, op2_mix, op3_lm, op4_near, op5_warc, op6_imatch, op7_exact, op9_bpe, op10_toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii.query,
     "op2_mix": op2_mix.query,
     "op3_context_mixing": op3_lm.query,
     "op4_near_dedup": op4_near.query,
+    "op5_warc_revisits": op5_warc.query,
     "op6_imatch": op6_imatch.query,
     "op7_exact_dedup": op7_exact.query,
     "op9_byte_bpe": op9_bpe.query,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_revisits": op5_warc.SQL,
     "op7_exact_dedup": op7_exact.SQL,
 }

@@ -8,7 +8,8 @@ with other hubs until few enough pairs of different components are left to be he
 the work follows the rows of a bucket and not their square, and no pair that could join two components goes unseen.
 
 Null or blank texts have the empty set and link with nothing. A text with fewer words than a shingle is one shingle.
-Rows with a null doc_id get a null component_id and stay; repeated rows give repeated rows.
+Rows with a null doc_id get a null component_id and stay; repeated rows give repeated rows, and rows of one doc_id with
+several texts are one document with several sets.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import dropped, small_batches, table, text_of, written
 
 BAND, MISS = 3, 1e-5
-#: Rounds with hubs before all pairs that remain are compared.
-HUB_ROUNDS = 6
+#: Rounds with hubs before all pairs that remain are compared; fewer if they are at most ALL_PAIRS for each row.
+HUB_ROUNDS, ALL_PAIRS = 6, 64
 #: As many ids of eight bytes are broadcast at most (16 MB); more of them are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 REMEMBERED = 300_000
@@ -139,7 +140,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                 out.append(s.tobytes() if xxhash.xxh3_128_digest(s.tobytes()) == cid else None)  # another row of that id
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["cid", "shingles"])
 
-    return rows.mapInArrow(run, "cid binary, shingles binary").filter("shingles IS NOT NULL").dropDuplicates(["cid"])
+    return rows.mapInArrow(run, "cid binary, shingles binary").filter("shingles IS NOT NULL")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,82 +158,91 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
+    kind = dict(pairs.dtypes)["a"]
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node reachable) of every node of the edges a, b: large and small stars in turn (Kiveris
-    and others, 2014) until nothing changes."""
-    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"))
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    was = state(now)
-    while was[0]:
-        both = now.union(now.select("v", "u"))
-        large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large = written(large)
-        small = large.join(least(large), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = written(small.filter("u != v").distinct())
+    """node, label (one node of the component, the same for all) of every node of the edges a, b. Every node hooks to its
+    least neighbour, if that is less; the edges between what has become one go, and the rest are those of the next turn.
+    A component loses half its nodes each turn or more, and a star all but one."""
+    now = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u != v").distinct())
+    turns: list[DataFrame] = []
+    while not now.isEmpty():
+        hooks = now.union(now.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
+        further = hooks.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        hooks = written(hooks.join(further, "to").select("node", "root"))
+        turns.append(hooks)
+        left, right = hooks.select(F.col("node").alias("u"), F.col("root").alias("p")), hooks.select(F.col("node").alias("v"), F.col("root").alias("q"))
+        new = now.join(left, "u").join(right, "v").filter("p != q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
+        new = written(new)
         dropped(now)
-        dropped(large)
-        now, then = new, was
-        if (was := state(now)) == then:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())
+        now = new
+    if not turns:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    found = turns[0].withColumnRenamed("root", "label")
+    for hooks in turns[1:]:
+        found = found.join(hooks.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return found
 
 
 def class_components(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """cid, label of the classes that a link joins with others; None without links. classes: cid, n, keys, first_id."""
-    rows = classes.select("cid", "n", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    members = written(rows.join(buckets, "key").select("key", "cid", "n"))
+    """id, label of the documents that a link joins with others; None without links. classes: cid, n, keys, id (the
+    least doc_id of the class)."""
+    rows = classes.select("id", "cid", "n", "keys", F.posexplode("keys").alias("band", "key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).filter("size > 1").select("key", "hub")
+    short = F.transform("keys", lambda k: (k % 0x7FFFFFFF).cast("int")).alias("keys")
+    members = written(rows.join(buckets, "key").select("key", "band", "id", "n", short, "hub"))
     if members.isEmpty():
         return None
-    candidates = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "first_id")
-    sets = written(full_sets(docs, written(candidates), width))
+    candidates = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("cid", F.col("id").alias("first_id"), "n"))
+    sets = written(full_sets(docs, candidates, width).join(F.broadcast(candidates) if candidates.count() <= BROADCAST_ROWS else candidates, "cid").select(F.col("first_id").alias("cid"), "shingles"))
+    sizes = candidates.select(F.col("first_id").alias("other"), F.col("n").alias("other_n"))
+    near_size = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
     labels: DataFrame | None = None
     edges: DataFrame | None = None
     tested: DataFrame | None = None
-    near_size = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
     for turn in range(HUB_ROUNDS + 1):
-        open_rows = members.withColumn("label", F.col("cid"))
-        if labels is not None:
-            open_rows = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        # Buckets of one component are settled. Rows with the counts of each component tell how many pairs are left.
-        by_label = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        left = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("labels > 1")
-        left = written(left.select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), "all"))
-        total, linear = left.agg(F.sum("pairs"), F.sum("all")).first()
-        if not total:
-            break
-        open_rows = written(open_rows.join(left.select("key"), "key"))
-        last = turn and (total <= 4 * linear or turn == HUB_ROUNDS)
-        if last:
-            other = open_rows.select("key", F.col("cid").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-            met = open_rows.join(other, "key").filter("cid < other AND label != other_label").filter(near_size).select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct()
+        last = False
+        if not turn:  # one hub each, the least of its buckets', is enough to begin with
+            met = members.groupBy("id", "n").agg(F.min("hub").alias("other")).filter("id != other")
+            met = met.join(sizes, "other").filter(near_size).select(F.col("id").alias("a"), F.col("other").alias("b"))
         else:
-            order = F.struct(F.xxhash64("cid", F.lit(turn)) if turn else F.lit(0), "cid", "n", "label")
-            hub = open_rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.cid").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.label").alias("other_label"))
-            met = open_rows.join(hub, "key").filter("label != other_label").filter(near_size)
-            if turn:
-                met = met.select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct()
-            else:  # one hub each is enough to begin with
-                met = met.groupBy(F.col("cid").alias("a")).agg(F.min("other").alias("b"))
-            met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
+            open_rows = members.withColumn("label", F.col("id"))
+            if labels is not None:
+                open_rows = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            # Buckets of one component are settled. Rows with the counts of each component tell how many pairs are left.
+            by_label = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+            left = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("labels > 1")
+            left = written(left.select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), "all"))
+            total, linear = left.agg(F.sum("pairs"), F.sum("all")).first()
+            if not total:
+                break
+            open_rows = open_rows.join(left.select("key"), "key")
+            last = total <= ALL_PAIRS * linear or turn == HUB_ROUNDS
+            if last:
+                open_rows = written(open_rows.select("key", "band", "id", "n", "keys", "label"))
+                other = open_rows.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"))
+                # A pair is met in the first band that it shares, and in no other.
+                before = F.zip_with(F.slice("keys", F.lit(1), F.col("band")), F.slice("other_keys", F.lit(1), F.col("band")), lambda x, y: x == y)
+                on = (open_rows["key"] == other["key"]) & (F.col("id") < F.col("other")) & (F.col("label") != F.col("other_label")) & near_size & ~F.array_contains(before, True)
+                met = open_rows.join(other, on).select(F.col("id").alias("a"), F.col("other").alias("b"))
+            else:
+                order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")
+                open_rows = written(open_rows.select("key", "id", "n", "label"))
+                hub = open_rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.label").alias("other_label"))
+                met = open_rows.join(hub, "key").filter("label != other_label").filter(near_size).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+            if tested is not None:
+                met = met.join(tested, ["a", "b"], "left_anti")
         met = written(met)
-        tested = met if tested is None else tested.union(met)
+        tested = (met if tested is None else tested.union(met)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = written(confirm(met, sets, percent))
         edges = new if edges is None else edges.union(new)
         if not new.isEmpty():
             labels = written(components(edges))
         if last:
             break
-    return labels.withColumnRenamed("node", "cid") if labels is not None else None
+    return labels.withColumnRenamed("node", "id") if labels is not None else None
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -240,13 +250,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets is at least percent times the union, and the least doc_id reachable names the component and stays."""
     signed = written(sign(docs, width, bands_for(percent)))
     linked = signed.filter("cid IS NOT NULL AND doc_id IS NOT NULL")
-    firsts = linked.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
-    classes = written(linked.join(firsts, "cid").filter("doc_id = first_id").dropDuplicates(["cid"]).select("cid", F.col("n_shingles").alias("n"), "keys", "first_id"))
+    classes = linked.groupBy("cid").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "keys"), "doc_id").alias("of"))
+    classes = written(classes.select("cid", "id", F.col("of.n_shingles").alias("n"), "of.keys"))
     labels = class_components(classes, docs, width, percent)
-    named = classes.select("cid", F.col("first_id").alias("component_id"))
+    named = classes.select("cid", F.col("id").alias("component_id"))
     if labels is not None:
-        labelled = classes.select("cid", "first_id").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        labelled = classes.select("cid", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
         named = labelled.join(least, "label").select("cid", "component_id")
     result = signed.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
