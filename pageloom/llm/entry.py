@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_pii, op2_mix, op3_lm, op4_near, op5_warc, op6_imatch, op7_exact, op9_bpe, op10_toxic
+from . import op1_pii, op2_mix, op3_lm, op4_near, op5_warc, op6_imatch, op7_exact, op8_html, op9_bpe, op10_toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_revisits": op5_warc.query,
     "op6_imatch": op6_imatch.query,
     "op7_exact_dedup": op7_exact.query,
+    "op8_html_text": op8_html.query,
     "op9_byte_bpe": op9_bpe.query,
     "op10_toxicity": op10_toxic.query,
 }
