@@ -42,6 +42,15 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: As many rows of an id or a number each are broadcast at most (16 MB in eight bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a hint to broadcast it if it has few enough rows; it should be a written table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows, so that a batch of very long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

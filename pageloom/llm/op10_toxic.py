@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of, small_batches, table, text_of
 
@@ -283,13 +284,12 @@ def spans(text: str, wanted: np.ndarray) -> list[dict]:
     return [{"start": x["start"], "end": x["end"]} for x in out]
 
 
-def score(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, score, spans (array of start, end) of every row."""
+def with_scores(docs: DataFrame, field: Field | None, score: str = "score", found: str = "spans") -> DataFrame:
+    """The rows with the score and the spans (array of start, end) of their texts, under names that docs must not have."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", text_of().alias("text"))
-    kind = "array<struct<start: long, end: long>>"
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     if field is None:
-        return rows.select("doc_id", F.lit(0.0).alias("score"), F.array().cast(kind).alias("spans"))
+        return docs.select("*", F.lit(0.0).alias(score), F.array().cast(kind).alias(found))
     small_batches(spark)
     shared = spark.sparkContext.broadcast(field)  # SLOTS weights
 
@@ -297,19 +297,20 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
         tagger = Tagger(shared.value)
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             p, lengths = tagger.marginals([words_of(t) for t in texts])
-            found, ends = [], np.cumsum(lengths)
+            places, ends = [], np.cumsum(lengths)
             for text, end, n in zip(texts, ends, lengths, strict=True):
                 wanted = p[end - n : end] >= 0.5
-                found.append(spans(text, wanted) if wanted.any() else [])
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.documents(p, lengths), pa.float64()), pa.array(found, spans_type)], names=["doc_id", "score", "spans"])
+                places.append(spans(text, wanted) if wanted.any() else [])
+            columns = [*batch.columns, pa.array(shared.value.documents(p, lengths), pa.float64()), pa.array(places, spans_type)]
+            yield pa.record_batch(columns, names=[*batch.schema.names, score, found])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, spans {kind}")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(found, kind)]))
 
 
 def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels)).select(
+    return with_scores(docs.select("doc_id", "text"), train(docs, labels)).select(
         "doc_id", (F.pmod(crc_of(), F.lit(3)) == 1).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "spans"
     )
 
