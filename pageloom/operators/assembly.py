@@ -31,48 +31,42 @@ def with_lines(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("lines", line.cast("array<struct<spans: array<struct<type: string, content: string, html: string, image_path: string>>>>")).withColumn("code_text", F.when(code, cleaned))
 
 
-def paragraphs(blocks: DataFrame, compat: str = "reference") -> DataFrame:
-    """doc_id, page_idx, para (schema.PARA), discarded: lists with their items, bodies with captions and footnotes, and what
-    is left as text. Types that no bucket takes are dropped."""
-    rows = with_lines(blocks)
-    none = F.lit(None)
+def _places(blocks: DataFrame, compat: str) -> DataFrame:
+    """doc_id, page_idx, block_idx, owner, kind, role, rank of the blocks that are parts of a paragraph, or have parts."""
     items = grouping.listed(blocks)
-    kinds = grouping.list_types(items)
-    key = [*KEY, "block_idx"]
-    parts = PARA["blocks"].dataType
+    own = items.select(*KEY, F.col("list_idx").alias("block_idx"), F.col("list_idx").alias("owner"), F.lit("list").alias("kind"), F.lit("self").alias("role"), F.lit(0).alias("rank")).distinct()
+    rank = F.when(F.col("type") == "text", 0).otherwise(1)
+    out = own.unionByName(items.select(*KEY, "block_idx", F.col("list_idx").alias("owner"), F.lit("list").alias("kind"), F.lit("item").alias("role"), rank.alias("rank")))
+    for kind in ("image", "table", "code"):
+        rows = blocks.withColumn("type", F.when(F.col("type") == "algorithm", "code").otherwise(F.col("type"))) if kind == "code" else blocks
+        found = grouping.two_layers(rows, kind, compat).filter("body_idx IS NOT NULL")
+        out = out.unionByName(found.select(*KEY, "block_idx", F.col("body_idx").alias("owner"), F.lit(kind).alias("kind"), "role", F.lit(0).alias("rank")))
+    return out
 
-    def para(kind: Column, sub: Column, lang: Column, lines: Column, blocks_: Column) -> Column:
-        return F.struct(kind.alias("type"), sub.alias("sub_type"), lang.alias("guess_lang"), F.col("level"), F.col("block_idx").alias("index"), F.col("bbox"), lines.alias("lines"), blocks_.alias("blocks")).cast(PARA)
 
-    taken = items.select(*key)
-    layers, out = [], []
-    for kind in ("image", "table", "code"):
-        role = grouping.two_layers(blocks.withColumn("type", F.when(F.col("type") == "algorithm", "code").otherwise(F.col("type"))) if kind == "code" else blocks, kind, compat)
-        layers.append(role)
-        inner = role.filter("body_idx IS NOT NULL").join(rows.select(*key, "bbox", "lines"), key)
-        part = F.struct(F.concat(F.lit(f"{kind}_"), F.col("role")).alias("type"), F.col("block_idx").alias("index"), "bbox", "lines").cast(PART)
-        order = F.struct(F.col("block_idx").alias("i"), part.alias("part"))
-        nested = inner.groupBy(*KEY, F.col("body_idx").alias("block_idx")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["part"]).alias("blocks"))
-        body = rows.filter(F.col("type").isin(kind, "algorithm") if kind == "code" else F.col("type") == kind).join(nested, key)
-        formula = F.exists(F.flatten(F.transform("lines", lambda line: line["spans"])), lambda s: s["type"] == "inline_equation")
-        sub = F.when(F.lit(kind == "code"), F.when((F.col("type") == "algorithm") | formula, "algorithm").otherwise("code"))
-        lang = F.when(sub == "code", text.code_language(F.coalesce("code_text", F.lit(""))))
-        out.append(body.select(*KEY, para(F.lit(kind), sub, lang, none, F.col("blocks")).alias("para"), F.lit(False).alias("discarded")))
-        taken = taken.unionByName(role.filter("body_idx IS NOT NULL").select(*key))
-    content = rows.join(items.select(*key, "list_idx"), key).select(*KEY, F.col("list_idx").alias("block_idx"), F.struct(F.when(F.col("type") == "text", 0).otherwise(1).alias("rank"), F.col("block_idx").alias("i"), F.struct("type", F.col("block_idx").alias("index"), "bbox", "lines").cast(PART).alias("part")).alias("x"))
-    nested = content.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]).alias("blocks"))
-    lists = rows.filter("type = 'list'").join(nested, key).join(kinds.select(*KEY, F.col("list_idx").alias("block_idx"), "sub_type"), key)
-    out.append(lists.select(*KEY, para(F.lit("list"), F.col("sub_type"), none, none, F.col("blocks")).alias("para"), F.lit(False).alias("discarded")))
-    rest = rows.filter("type != 'list'").join(taken.distinct(), key, "left_anti")
+def paragraphs(blocks: DataFrame, compat: str = "reference") -> DataFrame:
+    """doc_id, page_idx, para (schema.PARA), discarded: lists with their items, bodies with captions and footnotes, and what
+    is left as text. Lists without items, and types that no bucket takes, are dropped."""
+    rows = with_lines(blocks).join(_places(blocks, compat), [*KEY, "block_idx"], "left").filter("role IS NOT NULL OR type != 'list'")
     of_layer = F.col("type").rlike("^(image|table|code)(_caption|_footnote)?$") | (F.col("type") == "algorithm")
-    named = F.when(of_layer, "text").when(F.col("type") == "equation", "interline_equation").otherwise(F.col("type"))
-    known = [*BUCKETS, *DISCARDED]
-    rest = rest.withColumn("named", named).filter(F.col("named").isin(*known))
-    out.append(rest.select(*KEY, para(F.col("named"), none, none, F.col("lines"), none.cast(parts)).alias("para"), F.col("named").isin(*DISCARDED).alias("discarded")))
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    named = F.coalesce("kind", F.when(of_layer, "text").when(F.col("type") == "equation", "interline_equation").otherwise(F.col("type")))
+    rows = rows.withColumn("named", named).withColumn("owner", F.coalesce("owner", "block_idx")).filter(F.col("named").isin(*BUCKETS, *DISCARDED))
+    main = F.col("role").isNull() | F.col("role").isin("self", "body")
+    part_type = F.when(F.col("role") == "item", F.col("type")).otherwise(F.concat_ws("_", "kind", "role"))
+    part = F.struct(part_type.alias("type"), F.col("block_idx").alias("index"), "bbox", "lines").cast(PART)
+    whole = rows.groupBy(*KEY, "owner", "named").agg(
+        F.first(F.when(main, F.struct("type", "level", "bbox", "lines", "code_text")), ignorenulls=True).alias("m"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") != "self", F.struct("rank", "block_idx", part.alias("part"))))), lambda x: x["part"]).alias("parts"),
+        (F.sum(F.when(F.col("type") == "ref_text", 1).otherwise(0)) > F.sum(F.when(F.col("type") == "text", 1).otherwise(0))).alias("references"),
+    )
+    layered = F.col("named").isin("image", "table", "code", "list")
+    formula = F.exists(F.flatten(F.transform(F.col("m.lines"), lambda line: line["spans"])), lambda s: s["type"] == "inline_equation")
+    sub = F.when(F.col("named") == "list", F.when(F.col("references"), "ref_text").otherwise("text")).when(F.col("named") == "code", F.when((F.col("m.type") == "algorithm") | formula, "algorithm").otherwise("code"))
+    para = F.struct(
+        F.col("named").alias("type"), sub.alias("sub_type"), F.when(sub == "code", text.code_language(F.coalesce("m.code_text", F.lit("")))).alias("guess_lang"), F.col("m.level").alias("level"),
+        F.col("owner").alias("index"), F.col("m.bbox").alias("bbox"), F.when(~layered, F.col("m.lines")).alias("lines"), F.when(layered, F.col("parts")).alias("blocks"),
+    ).cast(PARA)
+    return whole.select(*KEY, para.alias("para"), F.col("named").isin(*DISCARDED).alias("discarded"))
 
 
 def pages(blocks: DataFrame, sizes: DataFrame, compat: str = "reference") -> DataFrame:

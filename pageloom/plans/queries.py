@@ -348,7 +348,7 @@ _text_query("full_to_half", _wide, _WIDE_SQL, tx.full_to_half, f"translate(t, '{
 _text_query("full_to_half_marks", _wide, _WIDE_SQL, tx.full_to_half_alnum, f"translate(t, '{tx.WIDE_ALNUM}', '{tx.NARROW_ALNUM}')")
 _text_query("hyphen_flag", lambda: F.concat("p_name", F.when(_k(3) == 0, "-").when(_k(3) == 1, "- ").otherwise("")), "p_name || CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '- ' ELSE '' END", tx.ends_in_hyphen, "regexp_matches(t, '[A-Za-z]-\\s*$')")
 _text_query("detect_lang", lambda: F.when(_k(5) == 0, "").when(_k(5) == 1, F.concat("p_name", F.lit("中"))).when(_k(5) == 2, F.concat("p_name", F.lit("ア"))).when(_k(5) == 3, "한국").otherwise(F.col("p_name")), "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN p_name || '中' WHEN 2 THEN p_name || 'ア' WHEN 3 THEN '한국' ELSE p_name END", tx.language, "CASE WHEN t = '' THEN '' WHEN contains(t, '中') OR contains(t, 'ア') THEN 'zh' ELSE 'en' END")
-_text_query("html_escape", lambda: F.concat(F.lit("<a href=\"x\">'"), "p_name", F.lit("' & co</a>")), "'<a href=\"x\">''' || p_name || ''' & co</a>'", tx.html_escaped, "'&lt;a href=&quot;x&quot;&gt;&#39;' || p_name || '&#39; &amp; co&lt;/a&gt;'")
+_text_query("html_escape", lambda: F.concat(F.lit("<a href=\"x\">'"), "p_name", F.lit("' & co</a>")), "'<a href=\"x\">''' || p_name || ''' & co</a>'", tx.html_escaped, "'&lt;a href=&quot;x&quot;&gt;&#39;' || split_part(t, chr(39), 2) || '&#39; &amp; co&lt;/a&gt;'")
 _text_query("code_clean", lambda: F.concat(F.when(_k(2) == 0, "```python\n").otherwise(""), "p_name", F.lit("\n  "), "p_type", F.when(_k(3) == 0, "\n``` ").otherwise("")), "p_name || '|' || p_type", tx.code_cleaned, "split_part(t, '|', 1) || chr(10) || '  ' || split_part(t, '|', 2)")
 _text_query("bracket_clean", lambda: F.concat(F.lit("\\["), "p_name", F.when(_k(2) == 0, "\\] and \\[x\\]").otherwise("")), "'\\[' || p_name || CASE p_partkey % 2 WHEN 0 THEN '\\] and \\[x\\]' ELSE '' END", tx.bracket_cleaned, "CASE p_partkey % 2 WHEN 0 THEN replace(replace(t, '\\[', '['), '\\]', ']') ELSE t END")
 _text_query("formula_clean", lambda: F.concat(F.when(_k(2) == 0, "\\[\n").otherwise(" "), "p_name", F.when(_k(3) == 0, "\n\\]").otherwise(" ")), "p_name", tx.formula_cleaned, "t")
