@@ -26,20 +26,41 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/pageloom-{uuid.uuid4().hex}"
 
 
+#: Tables of written() that are still there.
+_tables: set[str] = set()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and its size is known."""
     path = scratch(spark := df.sparkSession)
     df.write.parquet(path)
+    _tables.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
+def _read_by(df: DataFrame) -> set[str]:
+    folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    return {t for t in _tables if t.rpartition("/")[2] in folders}
+
+
+def _deleted(spark: SparkSession, paths: set[str]) -> None:
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        _tables.discard(p)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            _deleted(df.sparkSession, _read_by(df))
+
+
+def forget(spark: SparkSession, *kept: DataFrame) -> None:
+    """Deletes all tables of written() but those that the kept frames read."""
+    _deleted(spark, _tables - set().union(*map(_read_by, kept)))
 
 
 #: As many rows of an id or a number each are broadcast at most (16 MB in eight bytes each); more are joined by a shuffle.

@@ -19,16 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, table, text_of, written
+from .common import bounded, dropped, small_batches, table, text_of, written
 
 BAND, MISS = 3, 1e-5
-#: Rounds with hubs before all pairs that remain are compared; fewer if they are at most ALL_PAIRS for each row.
-HUB_ROUNDS, ALL_PAIRS = 6, 64
-#: As many ids of eight bytes are broadcast at most (16 MB); more of them are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Rounds with other hubs for buckets of more than LARGE classes of several components, before pairs are compared.
+HUB_ROUNDS, LARGE = 1, 256
+ROOM = ("common", "hub", "shared", "beside")
 REMEMBERED = 300_000
 
 
@@ -81,24 +80,33 @@ class Shingler:
         return out
 
 
-def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
-    """A 64-bit key of each band, by document; sets must not be empty."""
+def band_keys(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each band, and the last byte of each signature value, by document; sets must not be empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     numbers = np.random.RandomState(20_011).randint(0, 1 << 62, (bands * BAND, 2), np.uint64)
-    keys = np.zeros((len(sets), bands), np.uint64)
+    keys, sketch = np.zeros((len(sets), bands), np.uint64), []
     for band in range(bands):
         key = np.full(len(sets), band + 1, np.uint64)
         for a, b in numbers[band * BAND : (band + 1) * BAND]:
             seen = ((flat * (a * np.uint64(2) + np.uint64(1)) + b) >> np.uint64(32)).astype(np.uint32)
             for part in (np.minimum, np.maximum):
-                key = key * np.uint64(0x9FB21C651E98DF25) + part.reduceat(seen, starts)
+                value = part.reduceat(seen, starts)
+                key = key * np.uint64(0x9FB21C651E98DF25) + value
+                sketch.append(value.astype(np.uint8).view(np.int8))
         keys[:, band] = _finish(key)
-    return keys
+    return keys, np.stack(sketch, 1)
+
+
+def likely(percent: int) -> int:
+    """How many signature values two sets of this similarity have in common, but for a chance below MISS."""
+    n, s = 2 * BAND * bands_for(percent), percent / 100
+    return math.floor(n * (s - 4.4 * math.sqrt(s * (1 - s) / n)))
 
 
 def sign(docs: DataFrame, width: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, cid (16 bytes: the set's class; null if empty), keys (of the bands)."""
+    """doc_id, n_shingles, cid (16 bytes: the set's class; null if empty), keys (of the bands), sketch (a byte of each
+    signature value)."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
 
@@ -109,25 +117,24 @@ def sign(docs: DataFrame, width: int, bands: int) -> DataFrame:
         for batch in batches:
             sets = shingler.sets(batch.column(1).to_pylist())
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(full, bands).view(np.int64)) if full else iter(())
+            keys, sketches = map(iter, band_keys(full, bands)) if full else (iter(()), iter(()))
             yield pa.record_batch(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([next(keys).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([next(sketches) if len(s) else None for s in sets], pa.list_(pa.int8())),
                 ],
-                names=["doc_id", "n_shingles", "cid", "keys"],
+                names=["doc_id", "n_shingles", "cid", "keys", "sketch"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, cid binary, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, cid binary, keys array<long>, sketch array<tinyint>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """cid, shingles (sorted 64-bit integers) of each class, from the text of one of its documents."""
-    ids = classes.select("cid", F.col("first_id").alias("doc_id"))
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = bounded(classes.select("cid", F.col("first_id").alias("doc_id")))
     rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,22 +151,23 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("of_a")), "a")
+    """a, b, shared (size of the intersection of the full sets), linked (whether they are similar enough) of each pair."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                shared.append(common)
+                linked.append(100 * common >= percent * (len(p) + len(q) - common))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
 
     kind = dict(pairs.dtypes)["a"]
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}, shared long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,62 +194,94 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """id, lone: how many of a class's shingles no other class of these has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            if values:
+                owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
+                yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(values))], names=["id", "s"])
+
+    rows = sets.select("id", "shingles").mapInArrow(run, f"id {dict(sets.dtypes)['id']}, s long")
+    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def class_components(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """id, label of the documents that a link joins with others; None without links. classes: cid, n, keys, id (the
-    least doc_id of the class)."""
-    rows = classes.select("id", "cid", "n", "keys", F.posexplode("keys").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).filter("size > 1").select("key", "hub")
-    short = F.transform("keys", lambda k: (k % 0x7FFFFFFF).cast("int")).alias("keys")
-    members = written(rows.join(buckets, "key").select("key", "band", "id", "n", short, "hub"))
+    """id, label of the documents that a link joins with others; None without links. classes: cid, n, keys, sketch, id
+    (the least doc_id of the class)."""
+    rows = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(rows.join(buckets, "key").select("key", "band", "id", "n", "size"))
     if members.isEmpty():
         return None
-    candidates = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("cid", F.col("id").alias("first_id"), "n"))
-    sets = written(full_sets(docs, candidates, width).join(F.broadcast(candidates) if candidates.count() <= BROADCAST_ROWS else candidates, "cid").select(F.col("first_id").alias("cid"), "shingles"))
-    sizes = candidates.select(F.col("first_id").alias("other"), F.col("n").alias("other_n"))
+    # Those in the largest buckets are nearest to what the others are copies of.
+    central = written(members.groupBy("id").agg(F.sum("size").alias("central"), F.first("n").alias("n")))
+    candidates = written(classes.join(central, "id", "left_semi").select("cid", F.col("id").alias("first_id")))
+    sets = full_sets(docs, candidates, width)
+    sets = written(sets.join(bounded(candidates), "cid").select(F.col("first_id").alias("id"), "shingles"))
     near_size = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
-    labels: DataFrame | None = None
-    edges: DataFrame | None = None
-    tested: DataFrame | None = None
-    for turn in range(HUB_ROUNDS + 1):
-        last = False
-        if not turn:  # one hub each, the least of its buckets', is enough to begin with
-            met = members.groupBy("id", "n").agg(F.min("hub").alias("other")).filter("id != other")
-            met = met.join(sizes, "other").filter(near_size).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    hubs = members.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("central", "id", "n")).alias("best"))
+    met = members.select("key", "id", "n").join(hubs, "key").groupBy("id", "n").agg(F.max("best").alias("best")).select("id", "n", F.col("best.id").alias("other"), F.col("best.n").alias("other_n"))
+    met = met.filter("id != other").filter(near_size).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    held = written(confirm(met, sets, percent))
+    tested = held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = held.filter("linked").select("a", "b")
+    labels = None if edges.isEmpty() else written(components(edges))
+    room: DataFrame | None = None
+    for turn in range(1, HUB_ROUNDS + 2):
+        open_rows = members.withColumn("label", F.col("id"))
+        if labels is not None:
+            open_rows = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # Two sets of n and m can share no more than either has in common with any other set that is left, and must
+        # share percent / (100 + percent) * (n + m). Those that could with none of any size are settled.
+        if room is None:
+            mixed = open_rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l != m").select("key")
+            open_ids = written(open_rows.join(mixed, "key").select("id", "n").distinct())
+            lone = lone_shingles(sets.join(bounded(open_ids).select("id"), "id", "left_semi"))
+            common = open_ids.join(lone, "id", "left").select("id", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"), "n")
+            common = common.filter(F.col("common") * 100 >= F.col("n") * percent)
+            # What a class shares with the hub it was held against, and what else it has in common at most.
+            own = held.select(F.col("a").alias("id"), F.col("b").alias("hub"), "shared").join(open_ids.select(F.col("id").alias("hub"), F.lit(True).alias("counted")), "hub", "left")
+            beside = F.when(F.col("counted"), F.col("common") - F.col("shared")).otherwise(F.least(F.col("n") - F.col("shared"), F.col("common")))
+            room = written(common.join(own, "id", "left").select("id", "common", "hub", "shared", beside.alias("beside")))
+        open_rows = open_rows.join(room, "id")
+        # Buckets of one component are settled; in large ones of many, other hubs come first.
+        by_label = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        left = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("labels > 1")
+        left = written(left.select("key", ((F.col("all") > LARGE) & (F.col("all") * F.col("all") - F.col("same") > 16 * F.col("all"))).alias("large")))
+        large = left.filter("large")
+        last = turn > HUB_ROUNDS or large.isEmpty()
+        enough = near_size & (F.least("common", "other_common") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent) & (F.col("label") != F.col("other_label"))
+        # Two classes with one hub can share what both share with it, and what both have beside it.
+        through = F.least("shared", "other_shared") + F.least("beside", "other_beside")
+        enough &= F.coalesce((F.col("hub") != F.col("other_hub")) | (through * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent), F.lit(True))
+        if last:
+            open_rows = open_rows.join(left.select("key"), "key").select("key", "band", "id", "n", "label", *ROOM)
+            traits = classes.select("id", F.transform("keys", lambda k: (k % 0x7FFFFFFF).cast("int")).alias("keys"), "sketch")
+            open_rows = written(open_rows.join(traits, "id"))
+            other = open_rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "label", "keys", "sketch", *ROOM)])
+            # A pair is met in the first band that it shares, and in no other.
+            before = F.zip_with(F.slice("keys", F.lit(1), F.col("band")), F.slice("other_keys", F.lit(1), F.col("band")), lambda x, y: x == y)
+            same = F.size(F.filter(F.zip_with("sketch", "other_sketch", lambda x, y: x == y), lambda v: v))
+            met = open_rows.join(other, (open_rows["key"] == other["key"]) & (F.col("id") < F.col("other_id")) & enough & ~F.array_contains(before, True) & (same >= likely(percent)))
+            met = met.select(F.col("id").alias("a"), F.col("other_id").alias("b"))
         else:
-            open_rows = members.withColumn("label", F.col("id"))
-            if labels is not None:
-                open_rows = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-            # Buckets of one component are settled. Rows with the counts of each component tell how many pairs are left.
-            by_label = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-            left = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("labels > 1")
-            left = written(left.select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), "all"))
-            total, linear = left.agg(F.sum("pairs"), F.sum("all")).first()
-            if not total:
-                break
-            open_rows = open_rows.join(left.select("key"), "key")
-            last = total <= ALL_PAIRS * linear or turn == HUB_ROUNDS
-            if last:
-                open_rows = written(open_rows.select("key", "band", "id", "n", "keys", "label"))
-                other = open_rows.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"))
-                # A pair is met in the first band that it shares, and in no other.
-                before = F.zip_with(F.slice("keys", F.lit(1), F.col("band")), F.slice("other_keys", F.lit(1), F.col("band")), lambda x, y: x == y)
-                on = (open_rows["key"] == other["key"]) & (F.col("id") < F.col("other")) & (F.col("label") != F.col("other_label")) & near_size & ~F.array_contains(before, True)
-                met = open_rows.join(other, on).select(F.col("id").alias("a"), F.col("other").alias("b"))
-            else:
-                order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")
-                open_rows = written(open_rows.select("key", "id", "n", "label"))
-                hub = open_rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.label").alias("other_label"))
-                met = open_rows.join(hub, "key").filter("label != other_label").filter(near_size).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-            if tested is not None:
-                met = met.join(tested, ["a", "b"], "left_anti")
-        met = written(met)
-        tested = (met if tested is None else tested.union(met)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = written(confirm(met, sets, percent))
-        edges = new if edges is None else edges.union(new)
+            open_rows = written(open_rows.join(large.select("key"), "key").select("key", "id", "n", "label", *ROOM))
+            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label", *ROOM)
+            hub = open_rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", *[F.col(f"hub.{c}").alias(f"other_{c}") for c in ("id", "n", "label", *ROOM)])
+            met = open_rows.join(hub, "key").filter(enough).select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
+        met = written(met.join(tested, ["a", "b"], "left_anti"))
+        new = written(confirm(met, sets, percent).filter("linked").select("a", "b"))
         if not new.isEmpty():
+            edges = edges.union(new)
             labels = written(components(edges))
         if last:
             break
+        tested = tested.union(met)
+    dropped(members, central, candidates, sets, held, tested, edges)
     return labels.withColumnRenamed("node", "id") if labels is not None else None
 
 
@@ -250,8 +290,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets is at least percent times the union, and the least doc_id reachable names the component and stays."""
     signed = written(sign(docs, width, bands_for(percent)))
     linked = signed.filter("cid IS NOT NULL AND doc_id IS NOT NULL")
-    classes = linked.groupBy("cid").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "keys"), "doc_id").alias("of"))
-    classes = written(classes.select("cid", "id", F.col("of.n_shingles").alias("n"), "of.keys"))
+    classes = linked.groupBy("cid").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "doc_id").alias("of"))
+    classes = written(classes.select("cid", "id", F.col("of.n_shingles").alias("n"), "of.keys", "of.sketch"))
     labels = class_components(classes, docs, width, percent)
     named = classes.select("cid", F.col("id").alias("component_id"))
     if labels is not None:
