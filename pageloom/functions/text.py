@@ -106,3 +106,9 @@ def block_image_name(data_uri: Column) -> Column:
     ending = F.regexp_extract(data_uri, r"^data:image/([A-Za-z0-9.+-]+);base64,", 1)
     encoded = F.regexp_replace(data_uri, r"^data:image/[A-Za-z0-9.+-]+;base64,", "")
     return F.concat(F.sha2(encoded, 256), F.lit("."), F.when(ending == "jpeg", "jpg").when(ending == "", "png").otherwise(ending))
+
+
+def image_path(kind: Column, document: Column, page: Column, box: Column, has_writer: bool = True) -> Column:
+    """image_name of cut-outs that exist: blank without a writer, for a box without area and for other kinds of spans."""
+    exists = kind.isin("image", "table", "interline_equation") & (box[0] < box[2]) & (box[1] < box[3]) & has_writer
+    return F.when(exists, image_name(kind, document, page, box)).otherwise("")

@@ -3,7 +3,7 @@ joining of a document's pages shuffles."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,13 @@ class Style:
     inline: tuple[str, str] = ("$", "$")
     display: tuple[str, str] = ("$$", "$$")
 
+    def with_delimiters(self, settings: dict | None) -> Style:
+        """Formula marks from settings of the form {"display": {"left", "right"}, "inline": {"left", "right"}}."""
+        if not settings:
+            return self
+        marks = {kind: (settings[kind]["left"], settings[kind]["right"]) for kind in ("display", "inline")}
+        return replace(self, **marks)
+
 
 def _is(kind: str):  # noqa: ANN202
     return lambda x: x["type"] == kind

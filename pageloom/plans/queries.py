@@ -11,7 +11,7 @@ from ..functions import boxes as bx
 from ..functions import latex as lx
 from ..functions import otsl
 from ..functions import text as tx
-from ..operators import assembly, compare, grouping, layout, render, tables
+from ..operators import assembly, compare, grouping, layout, pairing, render, tables
 from ..schema import PARA
 from . import fixtures as fx
 
@@ -253,6 +253,15 @@ def _attached_sql(kind: str, role: str) -> str:
 derived("caption_attach", lambda spark, sf_dir: _attached(spark, sf_dir, "image", "caption"), f"WITH {fx.BLOCKS}, {_attached_sql('image', 'caption')} SELECT * FROM att")
 derived("footnote_attach", lambda spark, sf_dir: _attached(spark, sf_dir, "table", "footnote"), f"WITH {fx.BLOCKS}, {_attached_sql('table', 'footnote')} SELECT * FROM att")
 
+
+@query(f"WITH {fx.BLOCKS} SELECT s.doc_id, s.page_idx, count(o.block_idx) AS n FROM (SELECT DISTINCT doc_id, page_idx FROM fx_blocks WHERE type = 'image') s LEFT JOIN fx_blocks o ON s.doc_id = o.doc_id AND s.page_idx = o.page_idx AND o.type = 'image_caption' GROUP BY ALL")
+def caption_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions that found a body, by page: all of them where there is one."""
+    rows = fx.as_box(fx.blocks(spark, sf_dir))
+    found = pairing.paired_by_distance(rows.filter("type = 'image'"), rows.filter("type = 'image_caption'"))
+    return found.groupBy("doc_id", "page_idx").agg(F.count("block_idx").alias("n"))
+
+
 _ASOF = f"""{_attached_sql("table", "footnote")},
 moved AS (SELECT a.doc_id, a.page_idx, a.block_idx, CASE WHEN a.block_idx >= a.body_idx THEN a.body_idx ELSE (SELECT max(b.block_idx) FROM fx_blocks b WHERE b.doc_id = a.doc_id AND b.page_idx = a.page_idx AND b.type = 'table' AND b.block_idx <= a.block_idx AND b.block_idx != a.body_idx) END AS body_idx FROM att a)"""
 

@@ -61,6 +61,25 @@ def pages(docs: DataFrame, rasteriser: Callable[[], Rasteriser], dpi: int = 200,
     return docs.select("doc_id", "content").mapInPandas(run, PAGE_IMAGE)
 
 
+#: What the layout model is shown.
+LAYOUT_SIZE = (1036, 1036)
+
+
+def stretched(image: np.ndarray, width: int = LAYOUT_SIZE[0], height: int = LAYOUT_SIZE[1]) -> np.ndarray:
+    """image in another size, without regard to its shape; each pixel is the nearest one."""
+    rows = (np.arange(height) + 0.5) * image.shape[0] / height
+    columns = (np.arange(width) + 0.5) * image.shape[1] / width
+    return image[rows.astype(int)][:, columns.astype(int)]
+
+
+def padded(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """image in the middle of a white one."""
+    out = np.full((max(height, image.shape[0]), max(width, image.shape[1]), 3), 255, np.uint8)
+    top, left = (out.shape[0] - image.shape[0]) // 2, (out.shape[1] - image.shape[1]) // 2
+    out[top : top + image.shape[0], left : left + image.shape[1]] = image
+    return out
+
+
 def png(image: np.ndarray) -> bytes:
     """An image file of height by width by 3 bytes."""
     height, width, _ = image.shape
