@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.operators import assembly, grouping, layout, render, tables
+from pageloom.operators import assembly, grouping, layout, pairing, render, tables
 from pageloom.plans import pipeline
 from pageloom.schema import BLOCK, PAGE
 from pageloom.sources.config import Config
@@ -118,3 +118,14 @@ def test_filters(spark):
     assert [r.type for r in layout.filtered(page, without_empty=True).collect()] == ["image", "list", "footer"]
     assert [r.type for r in layout.filtered(page, without_lists=True, without_paratext=True).collect()] == ["text", "image"]
     assert isinstance(page.schema["bbox"].dataType, T.ArrayType)
+
+
+def test_pairing_by_distance():
+    bodies = [(0, 0, 10, 10), (0, 100, 10, 110)]
+    assert pairing.pair(bodies, [(0, 12, 10, 14), (0, 112, 10, 114), (0, 115, 10, 116)]) == {0: [0], 1: [1, 2]}
+    assert pairing.pair(bodies, []) == {0: [], 1: []} and pairing.pair([], [(0, 0, 1, 1)]) == {}
+
+
+def test_delimiters():
+    style = render.Style().with_delimiters({"display": {"left": "[", "right": "]"}, "inline": {"left": "(", "right": ")"}})
+    assert (style.display, style.inline) == (("[", "]"), ("(", ")")) and render.Style().with_delimiters(None) == render.Style()
