@@ -14,7 +14,10 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+# What the models were trained to be asked with.
 SYSTEM = "You are a helpful assistant."
+SAMPLING = {"temperature": 0.0, "top_p": 0.01, "top_k": 1, "presence_penalty": 0.0, "frequency_penalty": 0.0, "repetition_penalty": 1.0, "max_tokens": 4096}
+NO_REPEAT = 100
 NETWORK = re.compile(r"timed? ?out|connection (?:reset|refused|aborted)|socket hang up|network", re.I)
 EMPTY = "Empty response from the server"
 
@@ -55,7 +58,7 @@ class Chat:
     """A predictor over an HTTP server of chat completions."""
 
     def __init__(self, url: str, model: str | None = None, key: str | None = None, timeout: float = 600, end_token: str = "<|im_end|>", media: str = "image/png", **sampling: float) -> None:
-        self.url, self.timeout, self.end_token, self.media, self.sampling = url.rstrip("/"), timeout, end_token, media, sampling
+        self.url, self.timeout, self.end_token, self.media, self.sampling = url.rstrip("/"), timeout, end_token, media, SAMPLING | sampling
         self.headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
         self.model = model or self.models()[0]
 
@@ -81,7 +84,7 @@ class Chat:
         content: list[dict] = [{"type": "text", "text": prompt}]
         if image is not None:
             content.insert(0, {"type": "image_url", "image_url": {"url": f"data:{self.media};base64,{base64.b64encode(image).decode()}", "detail": "high"}})
-        return {"model": self.model, "messages": [{"role": "system", "content": SYSTEM}, {"role": "user", "content": content}], "skip_special_tokens": False, **self.sampling}
+        return {"model": self.model, "messages": [{"role": "system", "content": SYSTEM}, {"role": "user", "content": content}], "skip_special_tokens": False, "vllm_xargs": {"no_repeat_ngram_size": NO_REPEAT}, **self.sampling}
 
     def __call__(self, image: bytes | None, prompt: str) -> str:
         choices = self._open("/v1/chat/completions", self.body(image, prompt)).get("choices") or []
