@@ -4,7 +4,8 @@ weights, and what is left is encoded.
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents. Rows are
 found again by doc_id; where a table with text meets ids, the ids are broadcast if they are few enough by count, so that
 texts stay where they are, and both are shuffled otherwise. Null texts count as empty; rows with a null doc_id are kept by
-the two stages that look for copies, except that rows equal in doc_id and text are one.
+the two stages that look for copies, except that rows equal in doc_id and text are one. Each stage begins by deleting the
+intermediate tables that its docs do not read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import op2_mix, op4_near, op7_exact, op9_bpe, op10_toxic
-from pageloom.llm.common import WORD, bounded, table, text_of, written
+from pageloom.llm.common import WORD, bounded, forget, table, text_of, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text."""
+    forget(spark, docs)
     copies = written(op7_exact.dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
     rest = docs.join(bounded(copies), "doc_id", "left_anti").select(*docs.columns)
     # Rows that repeat an id with its text are kept by both; one stays.
@@ -41,12 +43,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words at a similarity of 0.8."""
+    forget(spark, docs)
     copies = written(op4_near.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
     return docs.join(bounded(copies), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as the mix of its source takes it."""
+    forget(spark, docs)
     changed = op2_mix.mix(docs).filter("copies != 1").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min("copies").alias("_copies"))
     changed = bounded(written(changed))
     rows = docs.withColumn("_words", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
@@ -56,6 +60,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    forget(spark, docs)
     return op9_bpe.apply(docs)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import crc_of, small_batches, table, text_of
 
-TOXIC_ROWS, CLEAN_ROWS, LONGEST = 600, 1400, 20_000
+TOXIC_ROWS, CLEAN_ROWS, LONGEST = 400, 1600, 12_000
 THRESHOLD = 0.7
 SLOTS = 1 << 18
 #: Words whose features a worker remembers before it starts anew.
@@ -132,16 +132,21 @@ def evidence(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def mark_words(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
     """Words, and beginnings of words, that are toxic documents' own: in several of them and in different surroundings,
     and rarely in a clean document."""
-    clean, dirty = Counter(), Counter()
+    dirty: Counter[bytes] = Counter()
     known: dict[bytes, list[bytes]] = {}
     for words, bad in zip(docs, toxic, strict=True):
-        for w in set(words):
-            if w not in known:
-                known[w] = keys_of(w.strip(EDGES) or w)
-        (dirty if bad else clean).update({k for w in set(words) for k in known[w]})
+        if bad:
+            own = set(words)
+            known.update((w, keys_of(w.strip(EDGES) or w)) for w in own if w not in known)
+            dirty.update({k for w in own for k in known[w]})
     least = max(3, 0.02 * toxic.sum())
-    weight = toxic.sum() / max(1, (~toxic).sum())
-    picked = {k for k, n in dirty.items() if n >= least and clean[k] * max(1.0, weight) <= 0.12 * n}
+    picked = {k for k, n in dirty.items() if n >= least}
+    clean: Counter[bytes] = Counter()
+    for words, bad in zip(docs, toxic, strict=True):
+        if not bad:
+            clean.update({k for w in set(words) for k in known.get(w) or keys_of(w.strip(EDGES) or w) if k in picked})
+    weight = max(1.0, toxic.sum() / max(1, (~toxic).sum()))
+    picked = {k for k in picked if clean[k] * weight <= 0.12 * dirty[k]}
     around = defaultdict(set)
     for words, bad in zip(docs, toxic, strict=True):
         if bad:
@@ -168,35 +173,37 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30) -> Field | None:
                 slots.append(features(w))
                 is_marked.append(not marked.isdisjoint(keys_of(w.strip(EDGES) or w)))
     lengths = np.array([len(d) for d in docs])
-    token = np.array([index[w] for d in docs for w in d], np.int64)
+    token = np.fromiter((index[w] for d in docs for w in d), np.int32, int(lengths.sum()))
     gold = np.array(is_marked, bool)[token] & np.repeat(y, lengths)
-    table_of = np.array(slots, np.int64).reshape(-1, OWN + 2)
+    slot = np.array(slots, np.int32).reshape(-1, OWN + 2)  # of each distinct word
+    del docs, slots
     inner = np.ones(len(token), bool)  # has a previous word
     ends = np.cumsum(lengths)
     inner[(ends - lengths)[lengths > 0]] = False
     before, after = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
     weights, bias, step = np.zeros(SLOTS), -4.0, np.log(np.array([[0.9, 0.1], [0.9, 0.1]]))
     squares, bias_square, step_square = np.full(SLOTS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    own = table_of[token]
     sequences = lengths[lengths > 0]
     starts = np.zeros(len(token), bool)
     starts[(np.cumsum(sequences) - sequences)] = True
     lasts = np.cumsum(sequences) - 1
     for _ in range(rounds):
-        score = weights[own[:, :OWN]].sum(1) + bias
-        score[after] += weights[own[before, OWN]]
-        score[before] += weights[own[after, OWN + 1]]
+        score = weights[slot[:, :OWN]].sum(1)[token] + bias
+        score[after] += weights[slot[:, OWN]][token[before]]
+        score[before] += weights[slot[:, OWN + 1]][token[after]]
         a = np.exp(step)
         p, forth, back = forward_backward(score, lengths, a)
         gap = p - gold
-        gradient = np.bincount(own[:, :OWN].ravel(), np.repeat(gap, OWN), SLOTS)
-        gradient += np.bincount(own[before, OWN], gap[after], SLOTS) + np.bincount(own[after, OWN + 1], gap[before], SLOTS)
+        of_word = np.bincount(token, gap, len(slot))
+        gradient = np.bincount(slot[:, :OWN].ravel(), np.repeat(of_word, OWN), SLOTS)
+        gradient += np.bincount(slot[:, OWN], np.bincount(token[before], gap[after], len(slot)), SLOTS)
+        gradient += np.bincount(slot[:, OWN + 1], np.bincount(token[after], gap[before], len(slot)), SLOTS)
         # Pairs of neighbours, the clean states at the ends among them.
         prev = np.where(starts, 0.0, np.roll(forth, 1))
-        pair = np.stack([np.stack([(1 - prev) * (1 - back), (1 - prev) * back], -1), np.stack([prev * (1 - back), prev * back], -1)], -2) * a
-        pair /= pair.sum((1, 2), keepdims=True)
+        pair = [[(1 - prev) * (1 - back) * a[0, 0], (1 - prev) * back * a[0, 1]], [prev * (1 - back) * a[1, 0], prev * back * a[1, 1]]]
+        whole = pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1]
         was = np.where(starts, False, np.roll(gold, 1))
-        expected, seen = pair.sum(0), np.array([[(~was & ~gold).sum(), (~was & gold).sum()], [(was & ~gold).sum(), (was & gold).sum()]], float)
+        expected, seen = np.array([[(x / whole).sum() for x in row] for row in pair]), np.array([[(~was & ~gold).sum(), (~was & gold).sum()], [(was & ~gold).sum(), (was & gold).sum()]], float)
         tail, tail_gold = forth[lasts], gold[lasts]
         end = np.stack([(1 - tail) * a[0, 0], tail * a[1, 0]], 1)
         expected[:, 0] += (end / end.sum(1, keepdims=True)).sum(0)
