@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_dedup": op4_near.SQL,
     "op5_warc_revisits": op5_warc.SQL,
     "op7_exact_dedup": op7_exact.SQL,
 }
