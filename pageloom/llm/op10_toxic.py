@@ -30,7 +30,7 @@ TOXIC_ROWS, CLEAN_ROWS, LONGEST = 400, 1600, 12_000
 THRESHOLD = 0.7
 SLOTS = 1 << 18
 #: Words whose features a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 CHUNK = 64
 PREFIXES = (3, 4, 5, 6, 7, 8)
 OWN = len(PREFIXES) + 3
@@ -247,28 +247,29 @@ class Tagger:
         self.clear()
 
     def clear(self) -> None:
-        weights, scores = self.field.weights, []
+        weights, new = self.field.weights, []
 
         class Known(dict):
             def __missing__(known, word: bytes) -> int:  # noqa: N805
                 w = weights[features(word)]
-                scores.append((float(w[:OWN].sum()), float(w[OWN]), float(w[OWN + 1])))
+                new.append((float(w[:OWN].sum()), float(w[OWN]), float(w[OWN + 1])))
                 known[word] = n = len(known)
                 return n
 
-        self.known, self.scores, self.values = Known(), scores, np.zeros((0, 3))
+        self.known, self.new, self.values = Known(), new, np.zeros((0, 3), np.float32)
 
     def marginals(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.clear()
         lengths = np.array([len(d) for d in docs], np.int64)
         look = self.known.__getitem__
-        token = np.fromiter((i for d in docs for i in map(look, d)), np.int64, int(lengths.sum()))
-        if len(self.scores) > len(self.values):
-            self.values = np.concatenate([self.values, np.array(self.scores[len(self.values) :])])
+        token = np.fromiter((i for d in docs for i in map(look, d)), np.int32, int(lengths.sum()))
+        if self.new:
+            self.values = np.concatenate([self.values, np.array(self.new, np.float32)])
+            self.new.clear()
         if not len(token):
             return np.zeros(0), lengths
-        own, forth, back = self.values[token].T
+        own, forth, back = self.values[token].T.astype(float)
         score = own + self.field.bias
         inner = np.ones(len(token), bool)
         inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
