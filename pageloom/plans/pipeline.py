@@ -25,6 +25,15 @@ class Results:
     errors: DataFrame
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder that the cluster shares, so that what follows asks no model again and plans stay
+    small; a folder of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("/tmp/checkpoints/pageloom")
+    return df.checkpoint()
+
+
 def register(spark: SparkSession) -> None:
     """Python functions under names for SQL."""
     spark.udf.register("table_html", otsl.table_html_udf)
@@ -37,12 +46,12 @@ def extracted(page_images: DataFrame, predictor: Callable[[], Predictor], config
     page_images: doc_id (long), page_idx, image. A page whose layout fails has no blocks."""
     key = ["doc_id", "page_idx"]
     asked = page_images.select(*key, "image", F.lit(PROMPTS["layout"]).alias("prompt"))
-    found = predicted(asked, predictor, key, config.request_concurrency, config.retries)
+    found = settled(predicted(asked, predictor, key, config.request_concurrency, config.retries))
     blocks = layout.parse(found.select(*key, F.col("content").alias("raw")))
     wanted = layout.to_extract(blocks)
     prompt = F.coalesce(*[F.when(F.col("prompt") == k, v) for k, v in PROMPTS.items()])
     requests = wanted.join(page_images.select(*key, "image"), key).select(*key, "block_idx", "image", prompt.alias("prompt"))
-    contents = predicted(requests, predictor, [*key, "block_idx"], config.request_concurrency, config.retries)
+    contents = settled(predicted(requests, predictor, [*key, "block_idx"], config.request_concurrency, config.retries))
     errors = found.select(*key, F.lit(None).cast("long").alias("block_idx"), "error").unionByName(contents.select(*key, "block_idx", "error")).filter("error IS NOT NULL")
     return layout.filled(blocks, contents), errors
 
@@ -50,7 +59,8 @@ def extracted(page_images: DataFrame, predictor: Callable[[], Predictor], config
 def rendered(blocks: DataFrame, sizes: DataFrame, config: Config = Config(), compat: str = "reference", simple: bool = False, images: str = "images") -> Results:  # noqa: B008
     """sizes: doc_id, page_idx, width, height of every page."""
     done = layout.post_processed(blocks, simple=simple, join_equations=config.join_equations, without_lists=config.without_lists, without_paratext=config.without_paratext, compat=compat)
-    pages = assembly.pages(done, sizes, compat)
+    done = settled(done)
+    pages = settled(assembly.pages(done, sizes, compat))
     if config.merge_tables and config.tables:
         pages = with_merged_tables(pages)
     style = render.Style(config.formulas, config.tables, images)
