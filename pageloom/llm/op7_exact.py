@@ -169,8 +169,9 @@ def dedup(docs: DataFrame, incoming: Callable[[str], Column] | None = None, dige
     if found.count() <= BROADCAST_ROWS:
         shorts = F.broadcast(shorts)
     several = texts.withColumn("short", _short("digest")).join(shorts, "short", "left_semi").drop("short")
-    one = several.groupBy("digest").agg(F.max("text").alias("other"))
-    mixed = written(several.join(one, "digest").filter("text != other").select("digest").distinct())
+    # Written before they are joined and before rows are made distinct, so that a hot digest can be dealt to several tasks.
+    one = written(several.groupBy("digest").agg(F.max("text").alias("other")))
+    mixed = written(written(several.join(one, "digest").filter("text != other").select("digest")).distinct())
     result = rows.join(found, "digest", "left").select("doc_id", "digest", "text_sha256", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
     if not mixed.isEmpty():  # different texts under one digest: each text is a class of its own
         result = result.join(mixed, "digest", "left_anti")
