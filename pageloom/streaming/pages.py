@@ -36,7 +36,9 @@ def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
         yield _whole(key[0], pages, False)
         return
+    latest = state.getCurrentWatermarkMs()
     for batch in batches:
+        latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
         for row in batch.itertuples():
             pages.setdefault(int(row.page_idx), row.markdown or "")
             count = int(row.page_count)
@@ -46,7 +48,7 @@ def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         yield _whole(key[0], pages, True)
         return
     state.update((list(pages), list(pages.values()), count))
-    state.setTimeoutDuration(WAIT_MS)
+    state.setTimeoutTimestamp(latest + WAIT_MS)
 
 
 WAIT_MS = 600_000
@@ -58,6 +60,6 @@ def _whole(doc_id: int, pages: dict[int, str], complete: bool) -> pd.DataFrame:
 
 
 def documents(stream: DataFrame) -> DataFrame:
-    """A row per document once all its pages arrived, or, marked, when none came for WAIT_MS."""
+    """A row per document once all its pages arrived, or, marked, when the watermark is WAIT_MS past its last one."""
     state = "pages array<long>, texts array<string>, count long"
-    return stream.groupBy("doc_id").applyInPandasWithState(_collect, WHOLE, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("doc_id").applyInPandasWithState(_collect, WHOLE, state, "append", GroupStateTimeout.EventTimeTimeout)
