@@ -128,6 +128,36 @@ def test_language_model_texts_stand_alone():
     assert np.allclose(together, [scorer.bits([t])[0] for t in texts])
 
 
+def _bits_by_decision(scorer, text):
+    """By brute force: one decision at a time, weights changed after bytes 512, 2048, 8192 and every doubling."""
+    symbols, starts = op3_lm.laid_out([text])
+    hashes, paired = [h[starts[0] :] for h in op3_lm.context_hashes(symbols)], op3_lm.with_before(symbols)[starts[0] :]
+    weights, total, ends = op3_lm.START.astype(np.float64), 0.0, {512, 2048, *(8192 << k for k in range(20))}
+    push, seen = np.zeros((16, 3)), np.zeros(16)
+    for i in range(len(paired)):
+        _, bits, slots = scorer.code.decisions(paired[i : i + 1], [h[i : i + 1] for h in hashes])
+        for j, bit in enumerate(bits):
+            raw = [int(t[s[j]]) for t, s in zip(scorer.tables, slots, strict=True)]
+            gate, x = (raw[1] & 3) << 2 | raw[2] & 3, op3_lm.OF_BYTE[raw].astype(np.float64)
+            p = 1 / (1 + np.exp(-weights[gate] @ x))
+            total -= np.log2(p if bit else 1 - p)
+            push[gate] += (p - bit) * x
+            seen[gate] += 1
+        if i + 1 in ends:
+            weights = np.clip(weights - op3_lm.RATE * push / (seen + op3_lm.CALM)[:, None], -1.5, 1.5)
+            push, seen = np.zeros((16, 3)), np.zeros(16)
+    return total
+
+
+@pytest.mark.parametrize("size", [300, 3000, 17000])
+def test_language_model_learns_from_every_decision(size):
+    rng = np.random.RandomState(3)
+    tables = [op3_lm.quantised(rng.randint(0, 9, 2 << bits), little) for _, bits, little in op3_lm.CONTEXTS]
+    scorer = op3_lm.Scorer(op3_lm.Model(np.ones((257, 257), np.int64), tables))
+    text = bytes(rng.choice(np.frombuffer(b"abc de", np.uint8), size))
+    assert scorer.bits([text])[0] == pytest.approx(_bits_by_decision(scorer, text), rel=1e-5)
+
+
 def test_luhn_examples():
     assert op1_pii.passes("4111111111111111") and not op1_pii.passes("4111111111111112")
     for text, start, end, kind in op1_pii.examples():
