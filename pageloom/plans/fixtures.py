@@ -88,9 +88,9 @@ def layout(spark: SparkSession, sf_dir: str, corner: bool = False) -> DataFrame:
     return rows.groupBy("doc_id", "page_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
 
 
-def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p_brand, otsl: a table of cell tokens for each brand."""
-    rows = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0")
+def markup(spark: SparkSession, sf_dir: str, parts: str = "p_partkey % 10 = 0") -> DataFrame:
+    """p_brand, otsl: a table of cell tokens for each brand, with a row for each of the parts."""
+    rows = table(spark, sf_dir, "part").filter(parts)
     row = F.concat(F.lit("<fcel>"), F.col("p_name"), F.when(F.col("p_size") % 3 == 0, "<lcel>").otherwise(F.concat(F.lit("<fcel>"), F.col("p_type"))))
     return rows.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"]), "<nl>").alias("otsl"))
 

@@ -405,6 +405,12 @@ def otsl_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.markup(spark, sf_dir).select("p_brand", otsl.table_html_udf("otsl").alias("html"))
 
 
+@query(ORACLE_SQL["otsl_html"].replace(" WHERE p_partkey % 10 = 0", ""))
+def otsl_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As otsl_html, of every part."""
+    return fx.markup(spark, sf_dir, "true").select("p_brand", otsl.table_html_udf("otsl").alias("html"))
+
+
 @query("""SELECT p_partkey, '<table>' || chr(10) || '  <tr>' || chr(10) || '    <td>' || p_name || '</td>' || chr(10) || '    <td>' || p_type || '</td>' || chr(10) || '  </tr>' || chr(10) || '  <tr>' || chr(10) || '    <td>' || p_brand || '</td>' || chr(10) || '  </tr>' || chr(10) || '</table>' AS html FROM part""")
 def table_pipe_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_type", F.lit(" |\n"), "p_brand", F.lit(" | "))
