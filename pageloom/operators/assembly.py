@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +33,28 @@ def with_lines(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("lines", line.cast("array<struct<spans: array<struct<type: string, content: string, html: string, image_path: string>>>>")).withColumn("code_text", F.when(code, cleaned))
 
 
-def _places(blocks: DataFrame, compat: str) -> DataFrame:
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def _places(blocks: DataFrame, compat: str, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, page_idx, block_idx, owner, kind, role, rank of the blocks that are parts of a paragraph, or have parts."""
+    blocks = settle(blocks.select(*KEY, "block_idx", "type", "bbox"))
     items = grouping.listed(blocks)
     own = items.select(*KEY, F.col("list_idx").alias("block_idx"), F.col("list_idx").alias("owner"), F.lit("list").alias("kind"), F.lit("self").alias("role"), F.lit(0).alias("rank")).distinct()
     rank = F.when(F.col("type") == "text", 0).otherwise(1)
     out = own.unionByName(items.select(*KEY, "block_idx", F.col("list_idx").alias("owner"), F.lit("list").alias("kind"), F.lit("item").alias("role"), rank.alias("rank")))
     for kind in ("image", "table", "code"):
         rows = blocks.withColumn("type", F.when(F.col("type") == "algorithm", "code").otherwise(F.col("type"))) if kind == "code" else blocks
-        found = grouping.two_layers(rows, kind, compat).filter("body_idx IS NOT NULL")
+        found = settle(grouping.two_layers(rows, kind, compat).filter("body_idx IS NOT NULL"))
         out = out.unionByName(found.select(*KEY, "block_idx", F.col("body_idx").alias("owner"), F.lit(kind).alias("kind"), "role", F.lit(0).alias("rank")))
     return out
 
 
-def paragraphs(blocks: DataFrame, compat: str = "reference") -> DataFrame:
+def paragraphs(blocks: DataFrame, compat: str = "reference", settle: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     """doc_id, page_idx, para (schema.PARA), discarded: lists with their items, bodies with captions and footnotes, and what
     is left as text. Lists without items, and types that no bucket takes, are dropped."""
-    rows = with_lines(blocks).join(_places(blocks, compat), [*KEY, "block_idx"], "left").filter("role IS NOT NULL OR type != 'list'")
+    rows = with_lines(blocks).join(_places(blocks, compat, settle), [*KEY, "block_idx"], "left").filter("role IS NOT NULL OR type != 'list'")
     of_layer = F.col("type").rlike("^(image|table|code)(_caption|_footnote)?$") | (F.col("type") == "algorithm")
     named = F.coalesce("kind", F.when(of_layer, "text").when(F.col("type") == "equation", "interline_equation").otherwise(F.col("type")))
     rows = rows.withColumn("named", named).withColumn("owner", F.coalesce("owner", "block_idx")).filter(F.col("named").isin(*BUCKETS, *DISCARDED))
@@ -69,15 +76,15 @@ def paragraphs(blocks: DataFrame, compat: str = "reference") -> DataFrame:
     return whole.select(*KEY, para.alias("para"), F.col("named").isin(*DISCARDED).alias("discarded"))
 
 
-def pages(blocks: DataFrame, sizes: DataFrame, compat: str = "reference") -> DataFrame:
+def pages(blocks: DataFrame, sizes: DataFrame, compat: str = "reference", settle: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     """One row per page of sizes (doc_id, page_idx, width, height in points), boxes in points, paragraphs in reading order;
-    of one index in the order of the buckets."""
+    of one index in the order of the buckets. settle may compute what several joins read, so that plans stay small."""
     key = ["doc_id", "page_idx"]
     placed = blocks.join(sizes, key).withColumn("bbox", boxes.to_points(boxes.to_unit(F.col("bbox")), F.col("width"), F.col("height"))).drop("width", "height")
     rank = F.coalesce(*[F.when(F.col("para.type") == t, i) for i, t in enumerate(BUCKETS)], F.lit(len(BUCKETS)))
     entry = F.struct(F.col("para.index").alias("i"), rank.alias("rank"), "para")
     side = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("discarded") == flag, entry))), lambda x: x["para"])
-    found = paragraphs(placed, compat).groupBy(*key).agg(side(False).alias("para_blocks"), side(True).alias("discarded_blocks"))
+    found = paragraphs(placed, compat, settle).groupBy(*key).agg(side(False).alias("para_blocks"), side(True).alias("discarded_blocks"))
     empty = F.array().cast("array<" + PARA.simpleString() + ">")
     return sizes.join(found, key, "left").select(*key, F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.coalesce("para_blocks", empty).alias("para_blocks"), F.coalesce("discarded_blocks", empty).alias("discarded_blocks"))
 

@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..operators import assembly, compare, grouping, layout, pairing, render, tables
 from ..schema import PARA
 from . import fixtures as fx
+from .pipeline import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -338,6 +339,40 @@ def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paras.groupBy("p.type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("p.blocks"), F.lit(0))).alias("parts"))
 
 
+def _whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the blocks of all types: tables in HTML, images with their paths, titles with their levels."""
+    rows = fx.as_box(fx.blocks(spark, sf_dir)).drop("x0", "y0", "x1", "y1")
+    name = tx.image_name(F.col("type"), F.upper(F.md5(F.col("doc_id").cast("string"))), F.col("page_idx"), F.col("bbox"))
+    rows = rows.select(
+        "*", F.lit(None).cast("int").alias("angle"), F.lit(None).cast("string").alias("html"),
+        F.when(F.col("type") == "image", name).alias("image_path"), (F.col("doc_id") % 7).cast("int").alias("level"),
+    )
+    sizes = rows.select("doc_id", "page_idx").distinct().select("*", F.lit(595).alias("width"), F.lit(842).alias("height"))
+    return assembly.pages(layout.with_table_html(rows), sizes, settle=settled)
+
+
+@query()
+def doc_markdown_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, from blocks of all types; Markdown has no place for headers."""
+    return render.document_markdown(_whole_pages(spark, sf_dir), style=render.Style(images="images"))
+
+
+@query()
+def nlp_markdown_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.document_markdown(_whole_pages(spark, sf_dir), render.NLP_MARKDOWN)
+
+
+@query()
+def content_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = render.content_list(_whole_pages(spark, sf_dir), render.Style(images="images"))
+    return found.select("doc_id", "page_idx", "pos", F.to_json("item").alias("item"))
+
+
+@query()
+def content_list_v2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.content_list_v2(_whole_pages(spark, sf_dir), render.Style(images="images"))
+
+
 # Text -----------------------------------------------------------------------------------------------------------------
 
 
