@@ -2,7 +2,8 @@
 
 A tree builder makes elements of the tags: those that a start tag implies the end of are closed, void ones never opened,
 end tags without a start ignored, and what is open at the end closed there. Elements that are not displayed (scripts,
-styles, the head, templates, closed choices, the hidden attribute, display: none and the like) give no text. The renderer
+styles, the head, templates, closed choices, the hidden attribute, display: none and the like) give no text; formulas and
+labels of drawings do, but not what only describes or defines them. The renderer
 emits all other text: runs of white space become one space, paragraphs and headings stand apart by an empty line, other
 blocks on lines of their own, list items behind their marks and indented, preformatted text as it is, and the cells of
 each table column aligned.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +34,13 @@ NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NO_TEXT = frozenset("script style head title template iframe noembed noframes object audio video canvas svg math datalist".split())
+NO_TEXT = frozenset("script style head title template iframe noembed noframes object audio video canvas datalist".split())
+#: Inside of math and svg: what is not shown, and what holds HTML.
+FOREIGN_NO_TEXT = frozenset("annotation annotation-xml metadata defs title desc".split())
+HTML_INSIDE = frozenset("foreignobject annotation-xml title desc mi mo mn ms mtext".split())
+#: HTML that math and svg end at.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCK = APART | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr caption".split())
 ENDS_P = APART | frozenset("address article aside center details dialog dir div dd dt fieldset figcaption footer form header hgroup li main menu nav search section summary".split())
@@ -144,6 +152,7 @@ class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[list[str], int, int]]] = []
         self.caption: list[str] = []
+        self.groups: list[int] = []  # rows at which groups of rows begin or end
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
@@ -152,16 +161,17 @@ class Table:
 
     def done(self) -> list[str]:
         """Cells on a grid, columns as wide as their widest one-column cell, two spaces apart."""
-        taken: dict[tuple[int, int], bool] = {}
+        until: dict[int, int] = {}  # the row at which each column is free again
+        starts_of_groups = [*self.groups, len(self.rows)]
         placed: list[list[tuple[int, list[str], int]]] = []
         for r, row in enumerate(self.rows):
             at, out = 0, []
             for lines, across, down in row:
-                while taken.get((r, at)):
+                while until.get(at, 0) > r:
                     at += 1
-                for i in range(min(down, len(self.rows) - r)):
-                    for j in range(across):
-                        taken[r + i, at + j] = True
+                end = r + down if down else starts_of_groups[bisect_right(starts_of_groups, r)]
+                for j in range(at, at + across):
+                    until[j] = max(until.get(j, 0), end)
                 out.append((at, lines, across))
                 at += across
             placed.append(out)
@@ -188,11 +198,14 @@ class Table:
 
 
 class Element:
-    __slots__ = ("attributes", "count", "flow", "hidden", "keep", "name", "table")
+    __slots__ = ("attributes", "count", "flow", "foreign", "hidden", "keep", "name", "table")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Element | None) -> None:
         self.name, self.attributes = name, attributes
         self.hidden = bool(parent and parent.hidden) or name in NO_TEXT or "hidden" in attributes or bool(NOT_SHOWN.search(attributes.get("style", "")))
+        within = bool(parent and parent.foreign)
+        self.hidden |= within and name in FOREIGN_NO_TEXT
+        self.foreign = name in ("svg", "math") or within and name not in HTML_INSIDE
         self.hidden |= name == "dialog" and "open" not in attributes
         self.keep = bool(parent and parent.keep and name not in ("td", "th")) or name in ("pre", "textarea", "xmp", "listing")
         self.flow = parent.flow if parent else Flow()
@@ -207,6 +220,12 @@ def _number(text: str | None, least: int, most: int) -> int:
         return least
 
 
+def _rows_down(text: str | None) -> int:
+    """0 stands for the rest of the group."""
+    digits = re.match(r"[ \t\n\r\f]*\+?([0-9]+)", text or "")
+    return min(65534, int(digits[1].lstrip("0")[:6] or 0)) if digits else 1
+
+
 class Builder:
     """Elements from tags; boxes are rendered when they close."""
 
@@ -223,6 +242,9 @@ class Builder:
         top.flow.word(text, top.keep)
 
     def start(self, name: str, attributes: dict[str, str]) -> None:
+        if name in ENDS_FOREIGN:
+            while self.stack[-1].foreign:
+                self.close(len(self.stack) - 1)
         closes, within = CLOSES.get(name, (None, None))
         if closes:
             self._close_inside(closes, within)
@@ -251,6 +273,10 @@ class Builder:
         self.open[name] += 1
         if element.hidden:
             return
+        if name == "text" and element.foreign:
+            flow.space = True  # labels stand apart
+        if name in ("tbody", "thead", "tfoot") and element.table is not None:
+            element.table.groups.append(len(element.table.rows))
         if name in APART and not (name in ("ul", "ol") and self.open["li"]):
             flow.apart()
         elif name in BLOCK:
@@ -310,6 +336,10 @@ class Builder:
             if e.hidden:
                 continue
             parent, name = self.stack[-1], e.name
+            if name == "text" and e.foreign:
+                parent.flow.space = True
+            if name in ("tbody", "thead", "tfoot") and e.table is not None:
+                e.table.groups.append(len(e.table.rows))
             if name == "table":
                 loose = e.flow.done()  # text between the cells goes before the table
                 parent.flow.take(loose)
@@ -317,7 +347,7 @@ class Builder:
             elif name in ("td", "th"):
                 lines = e.flow.done()
                 if e.table is not None:
-                    e.table.cell(lines, _number(e.attributes.get("colspan"), 1, 1000), _number(e.attributes.get("rowspan"), 1, 1000))
+                    e.table.cell(lines, _number(e.attributes.get("colspan"), 1, 1000), _rows_down(e.attributes.get("rowspan")))
                 else:
                     parent.flow.take(lines)
             elif name == "caption":
@@ -359,7 +389,12 @@ def render(page: str) -> str:
             builder.end(name)
             continue
         own = attributes(m[3]) if m[3] else {}
+        foreign = name in ("svg", "math") or builder.stack[-1].foreign and name not in ENDS_FOREIGN
         builder.start(name, own)
+        if foreign and m[3].endswith("/") and not UNQUOTED_SLASH.search(m[3]):
+            if builder.stack[-1].name == name:
+                builder.close(len(builder.stack) - 1)
+            continue
         if name in RAW and builder.stack[-1].name == name:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else n

@@ -181,3 +181,22 @@ def test_render(page, text):
 def test_render_is_linear_enough():
     for piece in ("<div>", "<p a=\"", "<a ", "</p>", "<b><p>", "<!--", "<table><tr><td>", "</x>", "<li>", "&", "<ul><li>"):
         render(piece * 3000)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("so <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds", "so a+b holds"), ("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>", "x"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><metadata>m</metadata><text>Up</text><text>Down</text></svg>", "Up Down"),
+        ("<svg><defs/><path d='M0 0'/><text>x</text></svg>y", "x y"), ("<svg><a href=u/><text>x</text></a></svg>", "x"), ("<svg><defs><p>shown</svg>z", "shownz"),
+        ("<svg><style>no</style><script>no</script><foreignObject><p>in</p></foreignObject></svg>", "in"), ("<desc>shown</desc>", "shown"),
+        ("<table><tbody><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "A  b\n   c\nd  e"), ("<table><tr><td rowspan=x>A<td>b<tr><td>c</table>", "A  b\nc"),
+    ],
+)
+def test_render_formulas_drawings_and_row_groups(page, text):
+    assert render(page) == text
+
+
+def test_render_long_row_spans():
+    lines = render("<table><tr><td rowspan=65534>A<td>b" + "<tr><td>c" * 1500 + "</table>").split("\n")
+    assert len(lines) == 1501 and set(lines[1:]) == {"   c"}
