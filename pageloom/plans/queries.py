@@ -263,6 +263,14 @@ def caption_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "page_idx").agg(F.count("block_idx").alias("n"))
 
 
+@query(f"WITH {fx.BLOCKS} SELECT s.doc_id, s.page_idx, s.block_idx AS body_idx, coalesce(o.block_idx, -1) AS block_idx FROM fx_blocks s LEFT JOIN fx_blocks o ON s.doc_id = o.doc_id AND s.page_idx = o.page_idx AND o.type = 'image_caption' WHERE s.type = 'image'")
+def caption_by_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs themselves; a page of these blocks has one image at most, so that SQL needs no distances."""
+    rows = fx.as_box(fx.blocks(spark, sf_dir))
+    found = pairing.paired_by_distance(rows.filter("type = 'image'"), rows.filter("type = 'image_caption'"))
+    return found.filter("body_idx IS NOT NULL").select("doc_id", "page_idx", "body_idx", F.coalesce("block_idx", F.lit(-1).cast("long")).alias("block_idx"))
+
+
 _ASOF = f"""{_attached_sql("table", "footnote")},
 moved AS (SELECT a.doc_id, a.page_idx, a.block_idx, CASE WHEN a.block_idx >= a.body_idx THEN a.body_idx ELSE (SELECT max(b.block_idx) FROM fx_blocks b WHERE b.doc_id = a.doc_id AND b.page_idx = a.page_idx AND b.type = 'table' AND b.block_idx <= a.block_idx AND b.block_idx != a.body_idx) END AS body_idx FROM att a)"""
 
@@ -313,6 +321,19 @@ def two_layer_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("body_idx").isNull().alias("lost"), "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""SELECT doc_id, page_idx, block_idx, coalesce(body_idx, -1) AS body_idx, role FROM (
+WITH {fx.BLOCKS} SELECT doc_id, page_idx, block_idx, block_idx AS body_idx, 'body' AS role FROM fx_blocks WHERE type = 'table'
+UNION ALL SELECT doc_id, page_idx, block_idx, CASE WHEN kept THEN body_idx END, 'caption' FROM (WITH {fx.BLOCKS}, {_attached_sql("table", "caption")}, l AS (SELECT *, lag(block_idx) OVER (PARTITION BY doc_id, page_idx, body_idx ORDER BY block_idx DESC) AS before FROM att),
+f AS (SELECT *, CASE WHEN before IS NULL OR block_idx = before - 1 OR (block_idx = before - 2 AND body_idx = before - 1) THEN 1 ELSE 0 END AS ok FROM l)
+SELECT *, min(ok) OVER (PARTITION BY doc_id, page_idx, body_idx ORDER BY block_idx DESC) = 1 AS kept FROM f)
+UNION ALL SELECT doc_id, page_idx, block_idx, CASE WHEN kept THEN body_idx END, 'footnote' FROM (WITH {fx.BLOCKS}, {_ASOF}, l AS (SELECT *, lag(block_idx) OVER (PARTITION BY doc_id, page_idx, body_idx ORDER BY block_idx) AS before FROM moved)
+SELECT *, min(CASE WHEN before IS NULL OR block_idx = before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_idx, body_idx ORDER BY block_idx) = 1 AS kept FROM l))""")
+def two_layer_nest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nest itself, a row for each of its blocks."""
+    found = grouping.two_layers(fx.as_box(fx.blocks(spark, sf_dir)), "table")
+    return found.select(*KEY, F.coalesce("body_idx", F.lit(-1).cast("long")).alias("body_idx"), "role")
+
+
 @query(f"WITH {fx.BLOCKS} SELECT doc_id, page_idx, count(*) AS n, string_agg(type, ',' ORDER BY block_idx) AS types FROM fx_blocks GROUP BY doc_id, page_idx")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = grouping.reading_order(fx.blocks(spark, sf_dir).select(*KEY, "type"))
@@ -351,6 +372,13 @@ def _whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.pages(layout.with_table_html(rows), sizes, settle=settled)
 
 
+@query()
+def page_assembly_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assembled paragraphs themselves, with their parts, as JSON."""
+    pages = _whole_pages(spark, sf_dir)
+    return pages.select("doc_id", "page_idx", F.posexplode(F.concat("para_blocks", "discarded_blocks")).alias("pos", "p")).select("doc_id", "page_idx", "pos", F.to_json("p").alias("para"))
+
+
 @query()
 def doc_markdown_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, from blocks of all types; Markdown has no place for headers."""

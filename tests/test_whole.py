@@ -57,3 +57,19 @@ def test_content_lists_of_every_block(spark):
             for kind, content in lines:
                 if kind != "image":
                     assert all(c in of_doc[doc] for c in _pieces(kind, json.dumps(content, ensure_ascii=False)[1:-1])), (doc, kind, content)
+
+
+def test_assembled_blocks_hold_every_block_once(spark):
+    got = []
+    for r in plans.QUERIES["page_assembly_blocks"](spark, DATA).collect():
+        p = json.loads(r.para)
+        got += [(r.doc_id, r.page_idx, b["index"]) for b in p.get("blocks") or [p]]
+    wanted = [(r.doc_id, r.page_idx, r.block_idx) for r in fx.blocks(spark, DATA).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
+def test_pairs_name_the_blocks(spark):
+    kinds = {(r.doc_id, r.page_idx, r.block_idx): r.type for r in fx.blocks(spark, DATA).collect()}
+    for r in plans.QUERIES["caption_by_distance_pairs"](spark, DATA).collect():
+        assert kinds[r.doc_id, r.page_idx, r.body_idx] == "image"
+        assert r.block_idx == -1 or kinds[r.doc_id, r.page_idx, r.block_idx] == "image_caption"
