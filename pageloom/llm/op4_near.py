@@ -3,9 +3,11 @@
 A document's set holds its distinct shingles as 64-bit hashes. Every permutation gives two signature values, its least
 and its greatest; bands of BAND permutations, as many as a pair at the threshold needs to meet with a chance of 1 - MISS,
 give buckets. Documents of one set are one class from the start. In each bucket one class is the hub and the others are
-held against it on their full sets; buckets whose classes are in one component by then are settled, and the rest go on
-with other hubs until few enough pairs of different components are left to be held against each other one by one. So
-the work follows the rows of a bucket and not their square, and no pair that could join two components goes unseen.
+held against it on their full sets; buckets whose classes are in one component by then are settled, and large ones go on
+with other hubs while those link enough. Of the classes that are left, those pairs of different components are compared
+whose differences from the hub share a rare shingle early on (a prefix filter on differences, see pairs_left()), which
+every link must. So the work follows the rows of a bucket and not their square, and no pair that could join two
+components goes unseen.
 
 Null or blank texts have the empty set and link with nothing. A text with fewer words than a shingle is one shingle.
 Rows with a null doc_id get a null component_id and stay; repeated rows give repeated rows, and rows of one doc_id with
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, dropped, small_batches, table, text_of, written
+from .common import bounded, dropped, small_batches, table, text_of, with_keys, written
 
 BAND, MISS = 3, 1e-5
-#: Rounds with other hubs for buckets of more than LARGE classes of several components, before pairs are compared.
-HUB_ROUNDS, LARGE = 1, 256
-ROOM = ("common", "hub", "shared", "beside")
+#: Buckets of more than LARGE classes of several components get other hubs while one in ENOUGH of the pairs is a link.
+LARGE, ENOUGH = 256, 20
+#: What one in SHARE of a hub's classes has is frequent.
+SHARE = 16
 REMEMBERED = 300_000
 
 
@@ -80,33 +83,24 @@ class Shingler:
         return out
 
 
-def band_keys(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key of each band, and the last byte of each signature value, by document; sets must not be empty."""
+def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """A 64-bit key of each band by document; sets must not be empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     numbers = np.random.RandomState(20_011).randint(0, 1 << 62, (bands * BAND, 2), np.uint64)
-    keys, sketch = np.zeros((len(sets), bands), np.uint64), []
+    keys = np.zeros((len(sets), bands), np.uint64)
     for band in range(bands):
         key = np.full(len(sets), band + 1, np.uint64)
         for a, b in numbers[band * BAND : (band + 1) * BAND]:
             seen = ((flat * (a * np.uint64(2) + np.uint64(1)) + b) >> np.uint64(32)).astype(np.uint32)
             for part in (np.minimum, np.maximum):
-                value = part.reduceat(seen, starts)
-                key = key * np.uint64(0x9FB21C651E98DF25) + value
-                sketch.append(value.astype(np.uint8).view(np.int8))
+                key = key * np.uint64(0x9FB21C651E98DF25) + part.reduceat(seen, starts)
         keys[:, band] = _finish(key)
-    return keys, np.stack(sketch, 1)
-
-
-def likely(percent: int) -> int:
-    """How many signature values two sets of this similarity have in common, but for a chance below MISS."""
-    n, s = 2 * BAND * bands_for(percent), percent / 100
-    return math.floor(n * (s - 4.4 * math.sqrt(s * (1 - s) / n)))
+    return keys
 
 
 def sign(docs: DataFrame, width: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, cid (16 bytes: the set's class; null if empty), keys (of the bands), sketch (a byte of each
-    signature value)."""
+    """doc_id, n_shingles, cid (16 bytes: the set's class; null if empty), keys (of the bands)."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
 
@@ -117,25 +111,24 @@ def sign(docs: DataFrame, width: int, bands: int) -> DataFrame:
         for batch in batches:
             sets = shingler.sets(batch.column(1).to_pylist())
             full = [s for s in sets if len(s)]
-            keys, sketches = map(iter, band_keys(full, bands)) if full else (iter(()), iter(()))
+            keys = iter(band_keys(full, bands) if full else ())
             yield pa.record_batch(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(keys).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    pa.array([next(sketches) if len(s) else None for s in sets], pa.list_(pa.int8())),
                 ],
-                names=["doc_id", "n_shingles", "cid", "keys", "sketch"],
+                names=["doc_id", "n_shingles", "cid", "keys"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, cid binary, keys array<long>, sketch array<tinyint>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, cid binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """cid, shingles (sorted 64-bit integers) of each class, from the text of one of its documents."""
-    ids = bounded(classes.select("cid", F.col("first_id").alias("doc_id")))
-    rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").select("cid", "text")
+    ids = classes.select("cid", F.col("first_id").alias("doc_id"))
+    rows = with_keys(docs.select("doc_id", text_of().alias("text")), ids, "doc_id").select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -151,23 +144,22 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, shared (size of the intersection of the full sets), linked (whether they are similar enough) of each pair."""
+    """a, b, linked (whether their full sets are similar enough) of each pair."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, linked = [], []
+            linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                shared.append(common)
                 linked.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     kind = dict(pairs.dtypes)["a"]
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}, shared long, linked boolean")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,27 +186,110 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def lone_shingles(sets: DataFrame) -> DataFrame:
-    """id, lone: how many of a class's shingles no other class of these has."""
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, id, diff (the shingles that one of the two has and the other lacks, sorted) of each pair hub, id."""
+    both = pairs.join(sets.select("id", F.col("shingles").alias("own")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), True).tobytes() for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["hub", "id", "diff"])
+
+    kind = dict(pairs.dtypes)["id"]
+    return both.select("hub", "id", "own", "of_hub").mapInArrow(run, f"hub {kind}, id {kind}, diff binary")
+
+
+def exploded(diffs: DataFrame, often: DataFrame | None = None) -> DataFrame:
+    """hub, id, s of each shingle of the differences, but for those that are frequent in their hub's."""
+    rows = diffs.select("hub", "id", "diff", F.lit(None).cast("array<long>").alias("often")) if often is None else diffs.join(bounded(often), "hub", "left").select("hub", "id", "diff", "often")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            values = []
+            for diff, late in zip(batch.column(2), batch.column(3), strict=True):
+                own = np.frombuffer(diff.as_buffer(), np.int64)
+                values.append(own[~np.isin(own, late.values.to_numpy())] if late.is_valid else own)
             if values:
-                owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
-                yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(values))], names=["id", "s"])
+                owner = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+                yield pa.record_batch([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(values))], names=["hub", "id", "s"])
+
+    kind = dict(diffs.dtypes)["id"]
+    return rows.mapInArrow(run, f"hub {kind}, id {kind}, s long")
+
 
-    rows = sets.select("id", "shingles").mapInArrow(run, f"id {dict(sets.dtypes)['id']}, s long")
-    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
-    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+def in_order(diffs: DataFrame) -> DataFrame:
+    """diffs with rare and often: the shingles of a difference that others of its hub have as well, from the rarest on.
+    Those that one in SHARE of the hub's classes has are looked up from a list, at most SHARE times as long as a
+    difference on average, so that the rows of no shingle meet in one place."""
+    sizes = diffs.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    counts = exploded(diffs).groupBy("hub", "s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    counts = written(counts.join(bounded(written(sizes)), "hub"))
+    by_count = lambda: F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda x: x["s"])
+    often = written(counts.filter(F.col("c") * SHARE >= F.col("size")).groupBy("hub").agg(by_count().alias("often")))
+    rare = exploded(diffs, often).join(counts.select("hub", "s", "c"), ["hub", "s"]).groupBy("hub", "id").agg(by_count().alias("rare"))
+    return written(diffs.join(rare, ["hub", "id"], "left").join(bounded(often), "hub", "left"))
+
+
+def first_shingles(diffs: DataFrame, percent: int) -> DataFrame:
+    """hub, s, at, id, label, n, d, weight: the beginning of each difference of d shingles, as far as a class of another
+    label that is similar enough must have one of them too. Shingles that no other class has come first and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, shingles, places = [], [], []
+            parts = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(7), batch.column(8), batch.column(9), strict=True)
+            for i, (d, weight, least, rare, often, diff) in enumerate(parts):
+                own = rare.values.to_numpy() if rare.is_valid else np.zeros(0, np.int64)
+                if often.is_valid:
+                    late = often.values.to_numpy()
+                    own = np.concatenate([own, late[np.isin(late, np.frombuffer(diff.as_buffer(), np.int64))]])
+                alone = d - len(own)
+                own = own[: max(0, d - max(1, -(-(weight + least) // (2 * (100 + percent)))) + 1 - alone)]
+                shingles.append(own)
+                row += [i] * len(own)
+                places.append(np.arange(alone, alone + len(own)))
+            if row:
+                rows = pa.array(row)
+                columns = [batch.column(0).take(rows), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(places)), *[batch.column(k).take(rows) for k in (1, 2, 3, 4, 5)]]
+                yield pa.record_batch(columns, names=["hub", "s", "at", "id", "label", "n", "d", "weight"])
+
+    kind = dict(diffs.dtypes)["id"]
+    return diffs.select("hub", "id", "label", "n", "d", "weight", "least", "rare", "often", "diff").mapInArrow(run, f"hub {kind}, s long, at long, id {kind}, label {kind}, n long, d long, weight long")
+
+
+def pairs_left(open_rows: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of classes of different labels in open buckets that are surely linked, and those that may be.
+
+    Let x and y differ from their bucket's hub by the sets X and Y. They differ from each other by X + Y - 2 shared(X, Y)
+    shingles, so that a link asks for 2 (100 + percent) shared(X, Y) >= weight(x) + weight(y), where weight(x) =
+    (100 + percent) |X| - (100 - percent) |x|. Weights that add up to no more than 0 are a link; all others must meet in
+    the beginnings of X and Y in any common order, and do so seldom if the rarest comes first."""
+    members = open_rows.join(hubs, "key").select("hub", "id", "n", "label").distinct()
+    diffs = differences(members.select("hub", "id"), sets).join(members, ["hub", "id"]).withColumn("d", (F.length("diff") / 8).cast("long"))
+    diffs = written(diffs.withColumn("weight", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")))
+    least = written(diffs.groupBy("hub").agg(F.min(F.struct("weight", "id")).alias("best")).select("hub", F.col("best.weight").alias("least"), F.col("best.id").alias("best")))
+    weighed = in_order(diffs).join(bounded(least), "hub")
+    sure = written(weighed.filter((F.col("weight") + F.col("least") <= 0) & (F.col("id") != F.col("best"))).select(F.col("id").alias("a"), F.col("best").alias("b")))
+    begun = written(first_shingles(weighed, percent))
+    other = begun.select("hub", "s", *[F.col(c).alias(f"other_{c}") for c in ("at", "id", "label", "n", "d", "weight")])
+    total = F.col("weight") + F.col("other_weight")
+    room = F.least(F.col("d") - F.col("at"), F.col("other_d") - F.col("other_at"))  # what both have from here on
+    met = begun.join(other, (begun["hub"] == other["hub"]) & (begun["s"] == other["s"]) & (F.col("id") < F.col("other_id")) & (F.col("label") != F.col("other_label")) & near_size(percent) & (total > 0) & (2 * (100 + percent) * room >= total))
+    maybe = written(met.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct())
+    dropped(diffs, weighed, least, begun)
+    return sure, maybe
+
+
+def near_size(percent: int) -> Column:
+    return F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
 
 
 def class_components(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """id, label of the documents that a link joins with others; None without links. classes: cid, n, keys, sketch, id
-    (the least doc_id of the class)."""
-    rows = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    """id, label of the documents that a link joins with others; None without links. classes: cid, n, keys, id (the least
+    doc_id of the class)."""
+    rows = classes.select("id", "n", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(rows.join(buckets, "key").select("key", "band", "id", "n", "size"))
+    members = written(rows.join(buckets, "key").select("key", "id", "n", "size"))
     if members.isEmpty():
         return None
     # Those in the largest buckets are nearest to what the others are copies of.
@@ -222,66 +297,46 @@ def class_components(classes: DataFrame, docs: DataFrame, width: int, percent: i
     candidates = written(classes.join(central, "id", "left_semi").select("cid", F.col("id").alias("first_id")))
     sets = full_sets(docs, candidates, width)
     sets = written(sets.join(bounded(candidates), "cid").select(F.col("first_id").alias("id"), "shingles"))
-    near_size = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
-    hubs = members.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("central", "id", "n")).alias("best"))
+    hubs = written(members.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("central", "id", "n")).alias("best")))
     met = members.select("key", "id", "n").join(hubs, "key").groupBy("id", "n").agg(F.max("best").alias("best")).select("id", "n", F.col("best.id").alias("other"), F.col("best.n").alias("other_n"))
-    met = met.filter("id != other").filter(near_size).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    held = written(confirm(met, sets, percent))
-    tested = held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = held.filter("linked").select("a", "b")
+    met = met.filter("id != other").filter(near_size(percent)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    tested = written(confirm(met, sets, percent))
+    edges = tested.filter("linked").select("a", "b")
     labels = None if edges.isEmpty() else written(components(edges))
-    room: DataFrame | None = None
-    for turn in range(1, HUB_ROUNDS + 2):
+    turn = 0
+    while True:
         open_rows = members.withColumn("label", F.col("id"))
         if labels is not None:
             open_rows = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # Two sets of n and m can share no more than either has in common with any other set that is left, and must
-        # share percent / (100 + percent) * (n + m). Those that could with none of any size are settled.
-        if room is None:
-            mixed = open_rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l != m").select("key")
-            open_ids = written(open_rows.join(mixed, "key").select("id", "n").distinct())
-            lone = lone_shingles(sets.join(bounded(open_ids).select("id"), "id", "left_semi"))
-            common = open_ids.join(lone, "id", "left").select("id", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"), "n")
-            common = common.filter(F.col("common") * 100 >= F.col("n") * percent)
-            # What a class shares with the hub it was held against, and what else it has in common at most.
-            own = held.select(F.col("a").alias("id"), F.col("b").alias("hub"), "shared").join(open_ids.select(F.col("id").alias("hub"), F.lit(True).alias("counted")), "hub", "left")
-            beside = F.when(F.col("counted"), F.col("common") - F.col("shared")).otherwise(F.least(F.col("n") - F.col("shared"), F.col("common")))
-            room = written(common.join(own, "id", "left").select("id", "common", "hub", "shared", beside.alias("beside")))
-        open_rows = open_rows.join(room, "id")
-        # Buckets of one component are settled; in large ones of many, other hubs come first.
+        # Buckets of one component are settled; in large ones of many, other hubs come first while they link enough.
         by_label = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        left = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("labels > 1")
-        left = written(left.select("key", ((F.col("all") > LARGE) & (F.col("all") * F.col("all") - F.col("same") > 16 * F.col("all"))).alias("large")))
-        large = left.filter("large")
-        last = turn > HUB_ROUNDS or large.isEmpty()
-        enough = near_size & (F.least("common", "other_common") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent) & (F.col("label") != F.col("other_label"))
-        # Two classes with one hub can share what both share with it, and what both have beside it.
-        through = F.least("shared", "other_shared") + F.least("beside", "other_beside")
-        enough &= F.coalesce((F.col("hub") != F.col("other_hub")) | (through * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent), F.lit(True))
-        if last:
-            open_rows = open_rows.join(left.select("key"), "key").select("key", "band", "id", "n", "label", *ROOM)
-            traits = classes.select("id", F.transform("keys", lambda k: (k % 0x7FFFFFFF).cast("int")).alias("keys"), "sketch")
-            open_rows = written(open_rows.join(traits, "id"))
-            other = open_rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "label", "keys", "sketch", *ROOM)])
-            # A pair is met in the first band that it shares, and in no other.
-            before = F.zip_with(F.slice("keys", F.lit(1), F.col("band")), F.slice("other_keys", F.lit(1), F.col("band")), lambda x, y: x == y)
-            same = F.size(F.filter(F.zip_with("sketch", "other_sketch", lambda x, y: x == y), lambda v: v))
-            met = open_rows.join(other, (open_rows["key"] == other["key"]) & (F.col("id") < F.col("other_id")) & enough & ~F.array_contains(before, True) & (same >= likely(percent)))
-            met = met.select(F.col("id").alias("a"), F.col("other_id").alias("b"))
-        else:
-            open_rows = written(open_rows.join(large.select("key"), "key").select("key", "id", "n", "label", *ROOM))
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label", *ROOM)
-            hub = open_rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", *[F.col(f"hub.{c}").alias(f"other_{c}") for c in ("id", "n", "label", *ROOM)])
-            met = open_rows.join(hub, "key").filter(enough).select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
-        met = written(met.join(tested, ["a", "b"], "left_anti"))
-        new = written(confirm(met, sets, percent).filter("linked").select("a", "b"))
-        if not new.isEmpty():
+        left = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all")).filter("labels > 1")
+        left = written(left.select("key", (F.col("all") > LARGE).alias("large")))
+        turn += 1
+        if left.filter("large").isEmpty():
+            break
+        large = open_rows.join(left.filter("large").select("key"), "key").select("key", "id", "n", "label")
+        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")
+        hub = large.groupBy("key").agg(F.min(order).alias("hub")).select("key", *[F.col(f"hub.{c}").alias(f"other_{c}") for c in ("id", "n", "label")])
+        met = large.join(hub, "key").filter((F.col("label") != F.col("other_label")) & near_size(percent)).select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
+        held = written(confirm(met.join(tested, ["a", "b"], "left_anti"), sets, percent))
+        new = held.filter("linked").select("a", "b")
+        tested = tested.unionByName(held)
+        n_held, n_new = held.count(), new.count()
+        if n_new:
             edges = edges.union(new)
             labels = written(components(edges))
-        if last:
+        if n_new * ENOUGH < n_held or not n_new:
             break
-        tested = tested.union(met)
-    dropped(members, central, candidates, sets, held, tested, edges)
+    if not left.isEmpty():
+        open_rows = members.withColumn("label", F.col("id")) if labels is None else members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_rows = open_rows.join(left.select("key"), "key").select("key", "id", "n", "label")
+        sure, maybe = pairs_left(open_rows, hubs.select("key", F.col("best.id").alias("hub")), sets, percent)
+        new = sure.unionByName(written(confirm(maybe.join(tested, ["a", "b"], "left_anti"), sets, percent)).filter("linked").select("a", "b"))
+        if not new.isEmpty():
+            edges = edges.union(new)
+            labels = written(components(edges))
+    dropped(members, central, candidates, sets, hubs, tested)
     return labels.withColumnRenamed("node", "id") if labels is not None else None
 
 
@@ -290,8 +345,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets is at least percent times the union, and the least doc_id reachable names the component and stays."""
     signed = written(sign(docs, width, bands_for(percent)))
     linked = signed.filter("cid IS NOT NULL AND doc_id IS NOT NULL")
-    classes = linked.groupBy("cid").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "doc_id").alias("of"))
-    classes = written(classes.select("cid", "id", F.col("of.n_shingles").alias("n"), "of.keys", "of.sketch"))
+    classes = linked.groupBy("cid").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "keys"), "doc_id").alias("of"))
+    classes = written(classes.select("cid", "id", F.col("of.n_shingles").alias("n"), "of.keys"))
     labels = class_components(classes, docs, width, percent)
     named = classes.select("cid", F.col("id").alias("component_id"))
     if labels is not None:

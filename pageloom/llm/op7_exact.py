@@ -18,12 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of, table, text_of, written
+from .common import crc_of, table, text_of, with_keys, written
 
 #: Distinct digests of a shard on average: what a task holds.
 PER_SHARD = 1 << 16
-#: As many digests of eight bytes are broadcast at most (16 MB); more of them are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -165,10 +163,8 @@ def dedup(docs: DataFrame, incoming: Callable[[str], Column] | None = None, dige
     rows = written(texts.select("doc_id", "digest", incoming("doc_id").alias("incoming"), F.sha2("text", 256).alias("text_sha256")))
     found = written(classes(rows).filter("group_size > 1"))
     # The texts of buckets with several rows, and no others, travel for the comparison of bytes.
-    shorts = found.select(_short("digest").alias("short")).distinct()
-    if found.count() <= BROADCAST_ROWS:
-        shorts = F.broadcast(shorts)
-    several = texts.withColumn("short", _short("digest")).join(shorts, "short", "left_semi").drop("short")
+    shorts = written(found.select(_short("digest").alias("short")).distinct())
+    several = with_keys(texts.withColumn("short", _short("digest")), shorts, "short").drop("short")
     # Written before they are joined and before rows are made distinct, so that a hot digest can be dealt to several tasks.
     one = written(several.groupBy("digest").agg(F.max("text").alias("other")))
     mixed = written(written(several.join(one, "digest").filter("text != other").select("digest")).distinct())

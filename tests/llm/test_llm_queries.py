@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pageloom.llm import entry, op1_pii, op2_mix, op3_lm, op4_near, op5_warc, op6_imatch, op7_exact, op8_html, op9_bpe, op10_toxic
+from pageloom.llm import common, entry, op1_pii, op2_mix, op3_lm, op4_near, op5_warc, op6_imatch, op7_exact, op8_html, op9_bpe, op10_toxic
 
 DATA = "/root/testdata/sf0.001"
 LONG = "word%d " * 3000 % tuple(range(3000))
@@ -157,6 +157,49 @@ def test_near_duplicates_in_one_large_bucket(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in components(docs, 3, 85).items()}
 
 
+@pytest.mark.parametrize(("seed", "large"), [(1, 3), (2, 256), (3, 8)])
+def test_near_duplicates_of_outliers_and_lengths(spark, monkeypatch, seed, large):
+    """Copies around one text that differ from each other more than from it, in length too, and a template: what is left
+    after the hubs is found by the differences from them."""
+    import random
+
+    monkeypatch.setattr(op4_near, "LARGE", large)
+    rng, docs = random.Random(seed), []
+    base, template = [f"b{j}" for j in range(90)], [f"t{j}" for j in range(100)]
+    for k in range(70):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        cut = rng.choice([0, 0, 0, 3, 6, 9, 12])
+        docs.append((k, " ".join(words[cut:] + [f"e{j}" for j in range(rng.choice([0, 0, 4, 8]))]), "en", "s"))
+    for k in range(20):
+        docs.append((100 + k, " ".join(template[:88] + [f"own{k}x{j}" for j in range(rng.choice([6, 7, 8, 14]))]), "en", "s"))
+    got = {r.doc_id: r.component_id for r in op4_near.near_duplicates(spark.createDataFrame(docs, SCHEMA), 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in components(docs, 3, 85).items()}
+
+
+def test_keys_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([(i if i % 9 else None, f"t{i}") for i in range(200)], "doc_id long, _hit string")
+    keys = common.written(spark.createDataFrame([(i, -i) for i in range(0, 150, 3)], "doc_id long, n long"))
+    for most in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        assert sorted(r.doc_id for r in common.with_keys(rows, keys, "doc_id").collect()) == [i for i in range(200) if i % 9 and i % 3 == 0 and i < 150]
+        left = [r.doc_id for r in common.without_keys(rows, keys, "doc_id").collect()]
+        assert sorted(i for i in left if i is not None) == [i for i in range(200) if i % 9 and (i % 3 or i >= 150)] and left.count(None) == 23
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    assert sorted(map(tuple, op7_exact.dedup(docs).collect())) == exact(ODD)
+    assert {r.doc_id: r.component_id for r in op4_near.near_duplicates(docs, 3, 85).collect()} == {i: c for i, (_, c) in components(ODD, 3, 85).items()}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        common._own_folder(Context())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 60), (200, 201), (5, 5)]
     got = {r.node: r.label for r in op4_near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
