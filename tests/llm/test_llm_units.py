@@ -149,7 +149,7 @@ def _bits_by_decision(scorer, text):
     return total
 
 
-@pytest.mark.parametrize("size", [300, 3000, 17000])
+@pytest.mark.parametrize("size", [300, 3000, 17000, 45000])
 def test_language_model_learns_from_every_decision(size):
     rng = np.random.RandomState(3)
     tables = [op3_lm.quantised(rng.randint(0, 9, 2 << bits), little) for _, bits, little in op3_lm.CONTEXTS]
@@ -200,3 +200,40 @@ def test_render_formulas_drawings_and_row_groups(page, text):
 def test_render_long_row_spans():
     lines = render("<table><tr><td rowspan=65534>A<td>b" + "<tr><td>c" * 1500 + "</table>").split("\n")
     assert len(lines) == 1501 and set(lines[1:]) == {"   c"}
+
+
+def test_language_model_windows_are_whole_texts(monkeypatch):
+    """Long words, white space at the seams and the end: the same pairs and hashes in windows as at once."""
+    rng = np.random.RandomState(5)
+    for text in (b"", b"one", bytes(rng.choice(np.frombuffer(b"ab cd\n", np.uint8), 5000)), b"x" * 3000 + b" " + b"Y" * 3000):
+        symbols, starts = op3_lm.laid_out([text])
+        whole = [op3_lm.with_before(symbols)[starts[0] :], *[h[starts[0] :] for h in op3_lm.context_hashes(symbols)]]
+        windows, parts = op3_lm.Windows(text), []
+        while windows.at <= len(text):
+            pairs, hashes = windows.take(int(rng.randint(1, 700)))
+            parts.append([pairs, *hashes])
+        for k, column in enumerate(whole):
+            assert (np.concatenate([p[k] for p in parts]) == column).all()
+
+
+def test_language_model_counts_beyond_16_bits():
+    table, wanted = op3_lm.Counter16(14), np.zeros(2 << 14, np.int64)
+    rng = np.random.RandomState(6)
+    for _ in range(6):
+        at = np.concatenate([np.full(30_000, 5), rng.randint(0, 2 << 14, 5000)])
+        table.add(at)
+        np.add.at(wanted, at, 1)
+    got = np.zeros_like(wanted).reshape(-1, 2 * op3_lm.BLOCK)
+    for k, block in table.blocks():
+        got[k] = block
+    assert (got.ravel() == wanted).all()
+
+
+def test_language_model_fits_its_first_weights():
+    rng = np.random.RandomState(7)
+    tables = [op3_lm.quantised(rng.randint(0, 9, 2 << bits), little) for _, bits, little in op3_lm.CONTEXTS]
+    model = op3_lm.Model(np.ones((257, 257), np.int64), tables)
+    docs = [bytes(rng.choice(np.frombuffer(b"abc de", np.uint8), 400)) for _ in range(40)]
+    before = op3_lm.Scorer(model).bits(docs).sum()
+    model.start = op3_lm.fitted(model, docs)
+    assert op3_lm.Scorer(model).bits(docs).sum() < before and op3_lm.fitted(model, []) is op3_lm.START
