@@ -13,6 +13,7 @@ which no pattern tells apart. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +33,13 @@ BASE = {
 }
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|\z)){4}\z"
 GENERATORS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[A-Za-z0-9-]++)+",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,18}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}",
 }
 BEFORE = 28
+FEW = 64
 HINTS = {
     "says_secret": r"(?i)(?:token|secret|passw|pwd|api.?key|key|auth|bearer|credential)[^A-Za-z0-9]{0,6}\z",
     "says_card": r"(?i)(?:card|visa|credit|debit|mastercard|amex|\bcc)\b[^0-9]{0,10}\z",
@@ -48,21 +50,60 @@ HINTS = {
 }
 FEATURES = ("kind_number", "digits", "length", "upper", "lower", "marks", "luhn", "plus", "octets", "at", "quoted", "hex", "grouped", *HINTS)
 TREES, DEPTH, SHRINK = 40, 3, 0.3
-SPAN = "struct<start: int, end: int, value: string>"
+SPAN = "struct<start: int, end: int, value: string, before: string>"
+KINDED = "struct<start: int, end: int, kind: string>"
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def scan(array: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What emit(state, x), an array of the kind, gives for each x of the array, one after another; step(state, x) is the
+    next state. Arrays of n > FEW are walked in chunks of about sqrt(n), so that no output is copied n times."""
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def of_chunk(chunk: Column, state: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(state.alias("state"), nothing.alias("out")),
+            lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], emit(a["state"], x)).cast(f"array<{kind}>").alias("out")),
+            lambda a: a["out"],
+        )
+
+    def begun(chunks: Column) -> Column:
+        """The state before each chunk, and after the last."""
+        return F.aggregate(
+            chunks,
+            F.struct(zero.alias("state"), F.array(zero).alias("all")),
+            lambda a, chunk: let(F.aggregate(chunk, a["state"], step), lambda end: F.struct(end.alias("state"), F.concat(a["all"], F.array(end)).alias("all"))),
+            lambda a: a["all"],
+        )
+
+    def in_chunks(whole: Column, width: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / width).cast("int")), lambda j: F.slice(whole, j * width + 1, width))
+        paired = let(chunks, lambda c: F.zip_with(c, F.slice(begun(c), F.lit(1), F.size(c)), lambda x, z: F.struct(x.alias("x"), z.alias("z"))))
+        return F.flatten(F.transform(paired, lambda p: of_chunk(p["x"], p["z"])))
+
+    long = lambda whole: let(F.ceil(F.sqrt(F.size(whole))).cast("int"), lambda width: in_chunks(whole, width))
+    return let(array, lambda whole: F.when(F.size(whole) <= FEW, of_chunk(whole, zero)).otherwise(long(whole)))
 
 
 def found(text: Column, pattern: str) -> Column:
-    """array of (start, end, value): the leftmost matches that do not overlap. Matches are set off by U+0001, and the
-    lengths of the parts add up to their places."""
+    """array of (start, end, value, before): the leftmost matches that do not overlap, and the BEFORE characters before
+    them. Matches are set off by U+0001, and the lengths of the parts add up to their places."""
     parts = F.split(F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, "\x01$0\x01"), "\x01", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"))
 
     def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part)
-        own = F.array(F.struct(state["at"].alias("start"), end.alias("end"), part.alias("value")))
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.when(state["inside"], F.concat(state["out"], own)).otherwise(state["out"]).cast(f"array<{SPAN}>").alias("out"))
+        return F.struct((state["at"] + F.length(part)).alias("at"), (~state["inside"]).alias("inside"), F.right(F.concat(state["before"], part), F.lit(BEFORE)).alias("before"))
+
+    def emit(state: Column, part: Column) -> Column:
+        own = F.struct(state["at"].alias("start"), (state["at"] + F.length(part)).alias("end"), part.alias("value"), state["before"].alias("before"))
+        return F.when(state["inside"], F.array(own)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.aggregate(parts, start, step, lambda state: state["out"])
+    return scan(parts, zero, step, emit, SPAN)
 
 
 def digits_of(value: Column) -> Column:
@@ -70,8 +111,9 @@ def digits_of(value: Column) -> Column:
 
 
 def luhn(value: Column) -> Column:
-    """Whether the digits pass the check of card numbers."""
+    """Whether there are 12 to 19 digits and they pass the check of card numbers."""
     digits = F.reverse(digits_of(value))
+    fits = F.length(digits).between(12, 19)
     places = F.sequence(F.lit(0), F.greatest(F.length(digits) - 1, F.lit(0)))
 
     def weight(i: Column) -> Column:
@@ -80,7 +122,7 @@ def luhn(value: Column) -> Column:
         return F.when(i % 2 == 1, double).otherwise(d)
 
     total = F.aggregate(F.transform(places, weight), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
-    return (F.length(digits) > 0) & (total % 10 == 0)
+    return F.when(fits, total % 10 == 0).otherwise(False)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -89,7 +131,7 @@ def base_spans(text: Column, kind: str) -> Column:
     if kind == "ip":
         return F.filter(all_, lambda s: s["value"].rlike(OCTETS))
     if kind == "card":
-        return F.filter(F.filter(all_, lambda s: n(s).between(12, 19)), lambda s: luhn(s["value"]))
+        return F.filter(all_, lambda s: luhn(s["value"]))
     if kind == "phone":
         return F.filter(all_, lambda s: n(s).between(9, 15))
     return all_
@@ -105,14 +147,14 @@ def kind_of(generator: str, value: Column) -> Column:
     return F.when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), "ssn").when(n >= 16, "card").when(n.between(12, 15) & ~value.startswith("+") & ~value.rlike(r"[()]"), "card").when(n >= 9, "phone")
 
 
-def described(text: Column, spans: Column, generator: str) -> Column:
+def described(spans: Column, generator: str) -> Column:
     """The spans with their kinds and features."""
     count = lambda v, cls: F.length(F.regexp_replace(v, f"[^{cls}]", "")).cast("double")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
 
     def row(s: Column) -> Column:
         v, kind = s["value"], kind_of(generator, s["value"])
-        before = F.substring(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE)))
+        before = s["before"]
         number = F.coalesce(*[F.when(kind == k, float(i)) for i, k in enumerate(KINDS)])
         cells = {
             "kind_number": number,
@@ -137,7 +179,7 @@ def described(text: Column, spans: Column, generator: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """All generators' spans, described; they may overlap."""
-    return F.concat(*[described(text, found(text, pattern), name) for name, pattern in GENERATORS.items()])
+    return F.concat(*[described(found(text, pattern), name) for name, pattern in GENERATORS.items()])
 
 
 def examples() -> list[tuple[str, int, int, str]]:
@@ -244,6 +286,16 @@ def applied(tree: list[tuple], x: np.ndarray) -> np.ndarray:
     return out
 
 
+_grown: list[Model] = []
+
+
+def grown(spark: SparkSession) -> Model:
+    """The model of train(), which is the same each time and kept."""
+    if not _grown:
+        _grown.append(train(spark))
+    return _grown[0]
+
+
 def train(spark: SparkSession) -> Model:
     """Trees from three quarters of the examples, thresholds from the others: of each kind where nine tenths of the
     selected candidates are right, midway to the next candidate, and no less than even odds."""
@@ -273,17 +325,38 @@ def train(spark: SparkSession) -> Model:
 
 
 def added(base: Column, proposed: Column) -> Column:
-    """The proposed spans, from the surest on, that overlap no span before them."""
-    order = F.array_sort(F.transform(proposed, lambda c: F.struct((-c["margin"]).alias("m"), c["start"].alias("start"), (-c["end"]).alias("less"), c["kind"].alias("kind"))))
-    kind = "array<struct<start: int, end: int, kind: string>>"
-    first = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).cast(kind)
-
-    def step(kept: Column, c: Column) -> Column:
-        new = F.array(F.struct(c["start"].alias("start"), (-c["less"]).alias("end"), c["kind"].alias("kind")))
-        clash = F.exists(kept, lambda s: (s["start"] < -c["less"]) & (c["start"] < s["end"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, new)).cast(kind)
-
-    return F.aggregate(order, first, step)
+    """The base spans and the proposed ones, from the surest on, that overlap no span before them. Spans that overlap,
+    be it by way of others, are a cluster; only those of one cluster are held against each other."""
+    last = F.lit(-float("inf"))  # base spans come before all others
+
+    def row(s: Column, margin: Column, own: bool) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), margin.alias("m"), F.lit(own).alias("own"))
+
+    kind = "struct<start: int, end: int, kind: string, m: double, own: boolean>"
+    all_ = F.array_sort(F.concat(F.transform(base, lambda s: row(s, last, True)), F.transform(proposed, lambda c: row(c, -c["margin"], False))).cast(f"array<{kind}>"))
+    # Empty spans do not occur, so that a span begins a cluster where none before it reaches beyond its start.
+    ranked = "struct<cluster: int, m: double, start: int, less: int, kind: string, own: boolean>"
+    zero = F.struct(F.lit(-1).alias("cluster"), F.lit(-1).alias("until"))
+    cluster = lambda state, x: F.when(x["start"] >= state["until"], x["start"]).otherwise(state["cluster"])
+    marked = scan(
+        all_,
+        zero,
+        lambda state, x: F.struct(cluster(state, x).alias("cluster"), F.greatest(state["until"], x["end"]).alias("until")),
+        lambda state, x: F.array(F.struct(cluster(state, x).alias("cluster"), x["m"].alias("m"), x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind"), x["own"].alias("own"))),
+        ranked,
+    )
+    spans = "array<struct<start: int, end: int>>"
+    kept = lambda state, x: F.when(state["cluster"] == x["cluster"], state["kept"]).otherwise(F.array().cast(spans))
+    stays = lambda before, x: x["own"] | ~F.exists(before, lambda s: (s["start"] < -x["less"]) & (x["start"] < s["end"]))
+    one = lambda x: F.array(F.struct(x["start"].alias("start"), (-x["less"]).alias("end")))
+    chosen = scan(
+        F.array_sort(marked),
+        F.struct(F.lit(-1).alias("cluster"), F.array().cast(spans).alias("kept")),
+        lambda state, x: let(kept(state, x), lambda before: F.struct(x["cluster"].alias("cluster"), F.when(stays(before, x), F.concat(before, one(x))).otherwise(before).cast(spans).alias("kept"))),
+        lambda state, x: F.when(stays(kept(state, x), x), F.array(F.struct(x["start"].alias("start"), (-x["less"]).alias("end"), x["kind"].alias("kind")))).otherwise(F.array().cast(f"array<{KINDED}>")),
+        KINDED,
+    )
+    return F.when(F.size(proposed) > 0, chosen).otherwise(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
 
 def joined(spans: Column) -> Column:
@@ -295,8 +368,8 @@ def joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, text, base (array of start, end, kind), spans (the same with those added) of every row."""
-    model = model or train(docs.sparkSession)
-    kind = "array<struct<start: int, end: int, kind: string>>"
+    model = model or grown(docs.sparkSession)
+    kind = f"array<{KINDED}>"
     rows = docs.select("doc_id", text_of().alias("text"))
     # Every pattern needs a digit or one of these.
     hit = F.col("text").rlike(r"[0-9@]|[(\[{] ?at ?[)\]}]")
@@ -317,15 +390,17 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
     """doc_id, text with each span replaced by its kind. Where spans overlap, the first one names them all."""
     rows = find(docs).select("doc_id", "text", F.array_sort("spans").alias("spans"))
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        over = s["start"] < a["at"]
-        more = F.concat(a["out"], F.expr("substring(text, 1, 0)"), F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.format_string(mask.replace("{}", "%s"), s["kind"]))
-        return F.struct(F.when(over, a["out"]).otherwise(more).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("spans", state, step)
-    return rows.withColumn("done", done).select("doc_id", F.concat("done.out", F.substring("text", F.col("done.at") + 1, F.length("text"))).alias("text"))
+    # Once as characters, so that no part is sought from the text's start.
+    rows = rows.withColumn("chars", F.when(F.size("spans") > 0, F.split("text", "")))
+    part = lambda start, end: F.array_join(F.slice("chars", start + 1, F.greatest(end - start, F.lit(0))), "")
+    pieces = scan(
+        F.concat("spans", F.array(F.struct(F.length("text").alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("kind")))),
+        F.lit(0),
+        lambda at, s: F.greatest(at, s["end"]),
+        lambda at, s: F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(F.array(part(at, s["start"]), F.when(s["kind"].isNull(), "").otherwise(F.format_string(mask.replace("{}", "%s"), s["kind"])))),
+        "string",
+    )
+    return rows.select("doc_id", F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"))
 
 
 def apply(docs: DataFrame) -> DataFrame:

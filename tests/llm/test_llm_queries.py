@@ -51,6 +51,58 @@ def test_pii(odd, none):
     assert {r.doc_id: r.text for r in op1_pii.redact(odd).collect()}[10] == "mail [email] or [phone]"
 
 
+def _luhn(d):
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(text):
+    """The contract's base spans, by Python's own patterns."""
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, "card", m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and _luhn(digits(m[0]))]
+    out += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+def test_pii_base_spans_of_odd_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    bits = ["a@b.co", "x.y@z", "@", ".", "1.2.3.4", "300.1.1.1", "255.255.255.255.9", "0004.1.2.3", "4111 1111 1111 1111", "4111111111111111", "-", " ", "+1 (555) 123-4567", "+49.30.1234567", "+", "(", "é", "😀", "\x01", "12", "3", "b.c@d.e.f", "%", "a" * 30, "\n", "9" * 21]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    got = {r.doc_id: r for r in op1_pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        wanted = base_spans(text)
+        joined = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in wanted)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), text
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(w[1] == k for w in wanted) for k in range(4)]
+        assert set(joined.split(",")) <= set(got[i].spans.split(",")) | {""}
+
+
+def test_pii_added_spans(spark):
+    """What only the trees find, what they leave alone, and that nothing overlaps what is there."""
+    rows = [(1, "write to joe(at)example.com please"), (2, "call (555) 123-4567 now"), (3, 'token = "ghX4kk29sLq8ZZ0pQw7rT5yU" end'), (4, "order 1234567890123456 shipped"), (5, "a plain text, version 1.20.300.4000"), (6, "ssn 123-45-6789")]
+    got = {r.doc_id: r.spans for r in op1_pii.apply(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "email:9:27" and got[2] == "phone:5:19" and got[3].startswith("secret:9:") and got[4] == got[5] == "" and got[6] == "ssn:4:15"
+    spans = "array<struct<start: int, end: int, kind: string>>"
+    chosen = spark.range(1).select(op1_pii.added(F.expr(f"from_json('[{{\"start\": 10, \"end\": 20, \"kind\": \"ip\"}}]', '{spans}')"), F.expr(
+        "array(named_struct('start', 15, 'end', 25, 'kind', 'card', 'margin', 9D), named_struct('start', 20, 'end', 30, 'kind', 'phone', 'margin', 1D), named_struct('start', 25, 'end', 35, 'kind', 'card', 'margin', 1D), named_struct('start', 30, 'end', 40, 'kind', 'ssn', 'margin', 0.5D), named_struct('start', 20, 'end', 32, 'kind', 'card', 'margin', 1D))"
+    )).alias("s")).first().s
+    assert [tuple(x) for x in chosen] == [(10, 20, "ip"), (20, 32, "card")]  # ties: the first start, then the longest
+
+
+def test_pii_of_very_long_texts(spark):
+    """Patterns that repeat for a million characters, and many matches, take seconds and no stack."""
+    import time
+
+    texts = ["a@" + "b." * 500_000 + "c", "7" * 1_000_000, "Ab9/" * 250_000, "a@b.co " * 100_000, "call (555) 123-4567 " * 10_000, "1.2.3.4, " * 100_000, "x" * 1_000_000 + "@", "1-" * 500_000, "+1" * 400_000, "0" * 500_000 + ".0.0.0"]
+    began = time.time()
+    got = {r.doc_id: r for r in op1_pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert time.time() - began < 120
+    assert (got[0].n_email, got[3].n_email, got[4].spans.count("phone"), got[5].n_ip, got[9].n_ip) == (1, 100_000, 10_000, 100_000, 1)
+
+
 def targets(sizes, weights):
     left, total, out = dict(zip(sizes, weights, strict=True)), sum(sizes.values()), {}
     while left:
