@@ -288,6 +288,55 @@ def test_fingerprints(odd, none):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+@pytest.mark.parametrize("ids", [[-(2**63), 0, 2**63 - 1, None, 7, 7], ["b", "a", "", None, "zz", "a\n"], [5], [None, None]])
+def test_fingerprints_of_any_ids(spark, monkeypatch, ids):
+    """The next document over many buckets, at the ends of the range of numbers, by strings, and past the last."""
+    monkeypatch.setattr(op6_imatch, "PER_BUCKET", 1)
+    monkeypatch.setattr(op6_imatch, "AT_ONCE", 2)
+    kind = "string" if isinstance(ids[0], str) else "long"
+    texts = [f"{'xyzuvw'[k] * (8 + k)} common words here" for k in range(len(ids))]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+    ties = {r.text: r.tie for r in rows.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, ties[r[1]]))
+    wanted = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 4
+        wanted[i, hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    got = op6_imatch.fingerprints(rows).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == wanted
+
+
+def _share(a, b):
+    """The likeness of two fingerprints by their text."""
+    x, y = a.split(":"), b.split(":")
+    if a == b:
+        return 1.0
+    if "0" in (x[0], y[0]):
+        return 0.0
+    step, parts = int(x[0]) - int(y[0]), 0.0
+    if abs(step) <= 1:
+        pairs = list(zip(x[1 + (step < 0)].split("."), y[1 + (step > 0)].split("."), strict=True))
+        either = [(p, q) for p, q in pairs if (p, q) != ("-", "-")]
+        parts = sum(p == q for p, q in either) / len(either) if either else 0.0
+    wide = [p == q for p, q in zip(x[3].split("."), y[3].split("."), strict=True)]
+    return max(parts, sum(wide) / len(wide))
+
+
+def test_likeness_by_the_fingerprints_text(spark):
+    rows = sorted(op6_imatch.query(spark, DATA).collect(), key=lambda r: r.doc_id)
+    for r, after in zip(rows, rows[1:] + rows[:1], strict=True):
+        assert r.near_edited == pytest.approx(_share(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(_share(r.fingerprint, after.fingerprint))
+
+
+def test_wide_lexicons_cover_every_term(spark):
+    """The order of terms does not count; one term more changes the entries of the wide lexicons that it is in."""
+    words = " ".join(f"w{j}" for j in range(60))
+    rows = spark.createDataFrame([(0, words), (1, words + " another"), (2, " ".join(reversed(words.split())))], "doc_id long, text string")
+    wide = [r.fingerprint.split(":")[3].split(".") for r in sorted(op6_imatch.fingerprints(rows).collect(), key=lambda r: r.doc_id)]
+    assert wide[0] == wide[2] != wide[1] and len(wide[0]) == op6_imatch.WIDE
+
+
 def test_fingerprints_tell_apart(spark):
     rows = op6_imatch.query(spark, "/root/testdata/sf0.01").agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).first()
     assert rows.e > 0.4 and rows.n < 0.05
