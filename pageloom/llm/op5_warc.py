@@ -5,11 +5,13 @@ validators that both carry agree: entity tags by the weak comparison, or without
 A resolved revisit has the response's payload, and the response's headers updated by its own as RFC 9111 (3.2) permits:
 those that describe the body or the connection stay as stored.
 
-The order of records is (date, record_id). A key's records are dealt out by ranges of date, so that no task sees all of
-a hot key: the last response of each range is found first and handed on to the later ranges, which are at most RANGES.
+The order of records is (date, record_id). A key's records are dealt out by ranges of date that hold about as many records
+each, whatever the dates are, so that no task sees all of a hot key: the last response of each range is found first and
+handed on to the later ranges, which are at most RANGES.
 
-Null urls or dates resolve to nothing ("unknown"); null headers are empty. Revisits that repeat are resolved each;
-of responses that repeat a record_id the one with the greatest digest counts. Without responses all are "unknown".
+Null urls or dates resolve to nothing ("unknown"); null headers are empty. Revisits that repeat a record_id are resolved
+each by its own url and date; of responses that repeat a record_id the one with the greatest checksum of url, date, headers
+and carried columns counts. Without responses all are "unknown". Carried columns may have any name but those of the result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 RANGES = 256
 #: Header fields that a revisit does not replace.
@@ -60,32 +62,31 @@ def resolve(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """record_id, key, target_id, state (resolved, changed, unknown), headers (map) and the target's columns in carry of
     every revisit. records: record_id, url, date (long), kind (response, revisit), headers, and the columns in carry."""
     order = F.struct("date", "record_id")
-    rows = written(records.select("record_id", canonical(F.col("url")).alias("key"), "date", "kind", lowered(F.col("headers")).alias("headers"), *carry))
-    low, high = rows.agg(F.min("date"), F.max("date")).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = (high - low) // RANGES + 1
-    narrow = rows.filter("key IS NOT NULL AND date IS NOT NULL").select("record_id", "key", "date", "kind", F.floor((F.col("date") - low) / width).cast("int").alias("part"))
+    inner = dict(zip(carry, fresh(*carry), strict=True))
+    rows = records.select("record_id", canonical(F.col("url")).alias("key"), "date", "kind", lowered(F.col("headers")).alias("headers"), *[F.col(f"`{c}`").alias(i) for c, i in inner.items()])
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    bounds = sorted({b for b in rows.approxQuantile("date", [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES)) if b is not None})
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("date"))) if bounds else F.lit(0)
+    narrow = rows.filter("key IS NOT NULL AND date IS NOT NULL").select("row", "record_id", "key", "date", "kind", part.alias("part"))
     response = F.when(F.col("kind") == "response", order)
     lasts = narrow.groupBy("key", "part").agg(F.max(response).alias("last"))
     earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.select("key", "part", F.max("last").over(earlier).alias("handed"))
-    inside = Window.partitionBy("key", "part").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "part").orderBy("date", "record_id", F.col("kind") == "response", "row").rowsBetween(Window.unboundedPreceding, -1)
     found = narrow.select("*", F.max(response).over(inside).alias("own")).filter("kind = 'revisit'").join(lasts, ["key", "part"])
-    found = found.select("record_id", F.coalesce("own.record_id", "handed.record_id").alias("target_id")).dropDuplicates(["record_id"])
-    digest = F.xxhash64(*carry) if carry else F.lit(0)
-    targets = rows.filter("kind = 'response'").withColumn("digest", digest)
+    found = found.select("row", F.coalesce("own.record_id", "handed.record_id").alias("target_id"))
+    (digest,) = fresh("digest")
+    checked = F.xxhash64("key", "date", F.to_json("headers"), *inner.values())
     needed = found.select("target_id").distinct()
-    targets = targets.join(needed, targets.record_id == needed.target_id, "left_semi").select(F.col("record_id").alias("target_id"), F.col("headers").alias("stored"), "digest", *carry)
-    if carry:  # rows that repeat a record_id: one of them
-        best = targets.groupBy("target_id").agg(F.max("digest").alias("digest"))
-        targets = targets.join(best, ["target_id", "digest"])
-    targets = targets.dropDuplicates(["target_id"]).drop("digest")
-    revisits = rows.filter("kind = 'revisit'").select("record_id", "key", "headers")
-    both = revisits.join(found, "record_id", "left").join(targets, "target_id", "left")
+    targets = rows.filter("kind = 'response'").join(needed, F.col("record_id") == F.col("target_id"), "left_semi").select(F.col("record_id").alias("target_id"), F.col("headers").alias("stored"), checked.alias(digest), *inner.values())
+    best = targets.groupBy("target_id").agg(F.max(digest).alias(digest))  # of rows that repeat a record_id one
+    targets = targets.join(best, ["target_id", digest]).dropDuplicates(["target_id"]).drop(digest)
+    revisits = rows.filter("kind = 'revisit'").select("row", "record_id", "key", "headers")
+    both = revisits.join(found, "row", "left").join(targets, "target_id", "left")
     state = F.when(F.col("target_id").isNull(), "unknown").when(agrees(F.col("stored"), F.col("headers")), "resolved").otherwise("changed")
     good = F.col("state") == "resolved"
     both = both.withColumn("state", state)
-    return both.select("record_id", "key", "target_id", "state", F.when(good, merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"), *[F.when(good, F.col(c)).alias(c) for c in carry])
+    return both.select("record_id", "key", "target_id", "state", F.when(good, merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"), *[F.when(good, F.col(i)).alias(c) for c, i in inner.items()])
 
 
 def captures(pages: DataFrame) -> DataFrame:
