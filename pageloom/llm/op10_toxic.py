@@ -229,13 +229,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30) -> Field | None:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
-    """Learns from labelled rows whose crc32 of doc_id modulo 3 is not 1."""
+    """Learns from labelled rows whose crc32 of doc_id modulo 3 is not 1. Rows that repeat a picked doc_id count once, by
+    the greatest of their texts, so that what reaches the driver is bounded by TOXIC_ROWS, CLEAN_ROWS and LONGEST."""
     own = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.filter(F.pmod(crc_of(), F.lit(3)) != 1)
     some = lambda bad, n: own.filter(F.col("toxic") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = some(1, TOXIC_ROWS).unionByName(some(0, CLEAN_ROWS))
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").filter(F.length("text") <= LONGEST)
-    found = sorted(rows.select("doc_id", "text", "toxic").collect())
+    found = sorted(rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("doc_id", "text", "toxic").collect())
     return fit([r.text for r in found], [r.toxic for r in found])
 
 

@@ -288,6 +288,29 @@ def test_fingerprints(odd, none):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def test_revisits_against_brute_force(spark, monkeypatch):
+    """Ties, repeated records, one date far off, and carried columns with names that the operator uses inside."""
+    import random
+
+    monkeypatch.setattr(op5_warc, "RANGES", 6)
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        kind = rng.choice(["response", "revisit"])
+        date = rng.choice([None, 10**15, *range(20)]) if i % 7 else rng.randrange(1000)
+        rows.append((i // 2 if kind == "revisit" else i, f"http://h{rng.choice('aaab')}.com/", date, kind, {"ETag": f'"{rng.randrange(3)}"', "Last-Modified": "x" * rng.choice([0, 5000])} if i % 11 else None, f"d{i}", i, f"k{i}"))
+    schema = "record_id long, url string, date long, kind string, headers map<string,string>, digest string, part int, row string"
+    got = op5_warc.resolve(spark.createDataFrame(rows, schema), ("digest", "part", "row")).collect()
+    wanted = Counter()
+    for record, url, date, kind, headers, *_ in rows:
+        if kind == "revisit":
+            earlier = [r for r in rows if r[3] == "response" and date is not None and r[1] == url and r[2] is not None and (r[2], r[0]) < (date, record)]
+            target = max(earlier, key=lambda r: (r[2], r[0])) if earlier else None
+            good = bool(target and headers and target[4] and target[4]["ETag"] == headers["ETag"])
+            wanted[record, target and target[0], "unknown" if target is None else "resolved" if good else "changed", *(target[5:] if good else (None, None, None))] += 1
+    assert Counter((r.record_id, r.target_id, r.state, r.digest, r.part, r.row) for r in got) == wanted
+
+
 @pytest.mark.parametrize("ids", [[-(2**63), 0, 2**63 - 1, None, 7, 7], ["b", "a", "", None, "zz", "a\n"], [5], [None, None]])
 def test_fingerprints_of_any_ids(spark, monkeypatch, ids):
     """The next document over many buckets, at the ends of the range of numbers, by strings, and past the last."""
@@ -380,6 +403,20 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in op10_toxic.apply(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_repeated_ids(spark):
+    """Rows that repeat a labelled id reach the driver once, and are scored each; clashing columns pass through."""
+    seen = []
+    docs = spark.createDataFrame([(1, f"some words {k}") for k in range(500)] + [(2, "other bad words"), (None, None)], "doc_id long, text string").withColumn("label", F.lit("x"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    real = op10_toxic.fit
+    op10_toxic.fit = lambda texts, toxic: seen.append(len(texts)) or real(texts, toxic)
+    try:
+        assert op10_toxic.apply(docs, labels).count() == 502
+    finally:
+        op10_toxic.fit = real
+    assert seen and seen[0] <= 2
+
+
 def test_toxicity_held_out(spark):
     base = "/root/testdata/sf0.1"
     rows = op10_toxic.query(spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
