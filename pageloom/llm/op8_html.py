@@ -2,11 +2,12 @@
 
 A tree builder makes elements of the tags: those that a start tag implies the end of are closed, void ones never opened,
 end tags without a start ignored, and what is open at the end closed there. Elements that are not displayed (scripts,
-styles, the head, templates, closed choices, the hidden attribute, display: none and the like) give no text; formulas and
-labels of drawings do, but not what only describes or defines them. The renderer
+styles, the head, templates, closed details but for their summary, the hidden attribute, display: none and the like) give
+no text, nor do those with visibility: hidden, but what is visible again inside of them does; formulas and labels of
+drawings do, but not what only describes or defines them. The renderer
 emits all other text: runs of white space become one space, paragraphs and headings stand apart by an empty line, other
 blocks on lines of their own, list items behind their marks and indented, preformatted text as it is, and the cells of
-each table column aligned.
+each table column aligned, by MOST_SPACES spaces a cell at most.
 
 Null pages count as empty and have empty text. Pages are parsed whole without recursion; a page that is no HTML is text.
 A stray "<" is text. Repeated rows give repeated rows.
@@ -16,9 +17,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A quote opens a quoted value after an equals sign, and is a character like others anywhere else.
+VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s<>]++)"
+TOKEN = re.compile(rf"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/<>]*+)((?:[\s/=]++|[^\s/=<>]++(?:{VALUE})?+)*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+VISIBILITY = re.compile(r"(?<![-\w])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: Spaces that align a cell, at most, so that no text is much longer than its page.
+MOST_SPACES = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
@@ -148,6 +155,17 @@ class Flow:
             self.lines.extend((rest + x).rstrip(" ") for x in lines[1:])
 
 
+def joined(busy: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Neighbours that are free again at the same row as one."""
+    out: list[tuple[int, int, int]] = []
+    for b in busy:
+        if out and out[-1][1:] == (b[0], b[2]):
+            out[-1] = (out[-1][0], b[1], b[2])
+        else:
+            out.append(b)
+    return out
+
+
 class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[list[str], int, int]]] = []
@@ -161,48 +179,55 @@ class Table:
 
     def done(self) -> list[str]:
         """Cells on a grid, columns as wide as their widest one-column cell, two spaces apart."""
-        until: dict[int, int] = {}  # the row at which each column is free again
+        busy: list[tuple[int, int, int]] = []  # columns from, to, and the row at which they are free again
         starts_of_groups = [*self.groups, len(self.rows)]
         placed: list[list[tuple[int, list[str], int]]] = []
         for r, row in enumerate(self.rows):
-            at, out = 0, []
+            at, out, k = 0, [], 0
+            busy = [b for b in busy if b[2] > r]
+            new: list[tuple[int, int, int]] = []
             for lines, across, down in row:
-                while until.get(at, 0) > r:
-                    at += 1
+                while k < len(busy) and busy[k][0] <= at:
+                    at = max(at, busy[k][1])
+                    k += 1
                 end = r + down if down else starts_of_groups[bisect_right(starts_of_groups, r)]
-                for j in range(at, at + across):
-                    until[j] = max(until.get(j, 0), end)
+                if new and new[-1][1:] == (at, end):
+                    new[-1] = (new[-1][0], at + across, end)
+                else:
+                    new.append((at, at + across, end))
                 out.append((at, lines, across))
                 at += across
+            if spanning := [b for b in new if b[2] > r + 1]:
+                busy = joined(sorted(busy + spanning))
             placed.append(out)
         widths: dict[int, int] = {}
         for row in placed:
             for at, lines, across in row:
                 if across == 1:
                     widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-        columns = max((at + across for row in placed for at, _, across in row), default=0)
-        starts, total = [0], 0
-        for c in range(columns):
-            total += widths.get(c, 0) + 2 * bool(widths.get(c, 0))
-            starts.append(total)
+        columns = sorted(c for c, width in widths.items() if width)
+        starts = [0, *accumulate(widths[c] + 2 for c in columns)]
         out = list(self.caption)
         for row in placed:
             for k in range(max((len(lines) for _, lines, _ in row), default=0)):
                 line = ""
                 for at, lines, _ in row:
                     if k < len(lines) and lines[k]:
-                        line = line.ljust(starts[at])
+                        line = line.ljust(min(starts[bisect_left(columns, at)], len(line) + MOST_SPACES))
                         line += ("  " if line and line[-1:] != " " else "") + lines[k]
                 out.append(line.rstrip(" "))
         return out
 
 
 class Element:
-    __slots__ = ("attributes", "count", "flow", "foreign", "hidden", "keep", "name", "table")
+    __slots__ = ("attributes", "count", "flow", "foreign", "hidden", "keep", "name", "table", "unseen")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Element | None) -> None:
         self.name, self.attributes = name, attributes
         self.hidden = bool(parent and parent.hidden) or name in NO_TEXT or "hidden" in attributes or bool(NOT_SHOWN.search(attributes.get("style", "")))
+        seen = VISIBILITY.search(attributes.get("style", ""))
+        self.unseen = seen[1].lower() != "visible" if seen else bool(parent and parent.unseen)  # what is inside may be seen again
+        self.hidden |= bool(parent and parent.closed and name != "summary")
         within = bool(parent and parent.foreign)
         self.hidden |= within and name in FOREIGN_NO_TEXT
         self.foreign = name in ("svg", "math") or within and name not in HTML_INSIDE
@@ -213,6 +238,12 @@ class Element:
         self.count = 0
 
 
+    @property
+    def closed(self) -> bool:
+        """Whether it shows its summary alone."""
+        return self.name == "details" and "open" not in self.attributes
+
+
 def _number(text: str | None, least: int, most: int) -> int:
     try:
         return min(most, max(least, int(text or "")))
@@ -235,7 +266,7 @@ class Builder:
 
     def text(self, text: str) -> None:
         top = self.stack[-1]
-        if top.hidden:
+        if top.hidden or top.unseen or top.closed:
             return
         if top.name in ("table", "tbody", "thead", "tfoot", "tr") and not text.strip():
             return
@@ -257,7 +288,8 @@ class Builder:
         parent = self.stack[-1]
         flow = parent.flow
         if name in VOID:
-            if parent.hidden or "hidden" in attributes or NOT_SHOWN.search(attributes.get("style", "")):
+            own = Element(name, attributes, parent)
+            if own.hidden or own.unseen and name != "br":
                 return
             if name == "br":
                 flow.broken()
@@ -357,7 +389,9 @@ class Builder:
                     parent.flow.take(e.flow.done())
             elif name == "li":
                 mark = e.attributes["mark"]
-                parent.flow.take(e.flow.done() or [""], mark, " " * len(mark))
+                lines = e.flow.done()
+                if lines or not e.unseen:
+                    parent.flow.take(lines or [""], mark, " " * len(mark))
             elif name == "dd":
                 parent.flow.take(e.flow.done(), "    ", "    ")
             elif name == "blockquote":

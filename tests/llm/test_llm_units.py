@@ -5,7 +5,7 @@ import base64
 import numpy as np
 import pytest
 
-from pageloom.llm import op1_pii, op3_lm, op4_near, op7_exact, op9_bpe, op10_toxic
+from pageloom.llm import op1_pii, op3_lm, op4_near, op7_exact, op8_html, op9_bpe, op10_toxic
 from pageloom.llm.op8_html import render
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -237,3 +237,97 @@ def test_language_model_fits_its_first_weights():
     before = op3_lm.Scorer(model).bits(docs).sum()
     model.start = op3_lm.fitted(model, docs)
     assert op3_lm.Scorer(model).bits(docs).sum() < before and op3_lm.fitted(model, []) is op3_lm.START
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no<br>no</div>ok", "yes\n\nok"), ("<p style='visibility:collapse'>no</p>ok", "ok"), ("<p style='content-visibility:hidden'>no</p>ok", "ok"),
+        ("<a title=it's>Hello it's me</a>", "Hello it's me"), ("<a href=x?a=\"1\">t</a>", "t"), ("<p class='a>b' id=c>t", "t"), ("<p a = \"x'\" b='\"' c>t", "t"), ("<details><summary>s</summary>no<p>no</details>ok", "s\nok"),
+        ("<details open><summary>s</summary>in</details>ok", "s\nin\nok"), ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>b</ul>", "- b"), ("<div style='visibility:hidden'>x<input type=submit value=no><hr></div>y", "y"),
+    ],
+)
+def test_render_visibility_details_and_quotes(page, text):
+    assert render(page) == text
+
+
+def test_render_blows_nothing_up():
+    import time
+
+    pages = ["<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>", "<table>" + ("<tr>" + "<td colspan=1000 rowspan=1000>z" * 6) * 10 + "</table>", "<table><tr>" + f"<td>{'w' * 200}" * 1000 + "<tr><td colspan=999><td>x" * 1000 + "</table>"]
+    pages += ["<a b='" * 20_000, "<a b=c'" * 20_000, "<a =\"" * 20_001, "<x a=" * 20_000, "<table><tr>" + "<td colspan=1000>q" * 20_000 + "</table>"]
+    for page in pages:
+        began = time.time()
+        text = render(page)
+        assert time.time() - began < 5 and len(text) < 300 * len(page) ** 0.5 * 10 + 30 * len(page), page[:40]
+
+
+def test_tables_are_laid_out_as_slot_by_slot():
+    rng = np.random.RandomState(8)
+    for _ in range(200):
+        table, wanted, taken = op8_html.Table(), [], set()
+        rows = [[(int(rng.choice([1, 1, 2, 4])), int(rng.choice([1, 1, 2, 3, 0]))) for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(1, 8))]
+        for r, row in enumerate(rows):
+            table.rows.append([])
+            at = 0
+            for k, (across, down) in enumerate(row):
+                table.cell([f"r{r}c{k}"], across, down)
+                while (r, at) in taken:
+                    at += 1
+                taken |= {(y, x) for y in range(r, r + down if down else len(rows)) for x in range(at, at + across)}
+                wanted.append((r, at, f"r{r}c{k}", across))
+                at += across
+        widths = {}
+        for _, at, name, across in wanted:
+            if across == 1:
+                widths[at] = max(widths.get(at, 0), len(name) + 2)
+        lines = []
+        for r in range(len(rows)):
+            line = ""
+            for _, at, name, _ in (w for w in wanted if w[0] == r):
+                line = line.ljust(sum(n for c, n in widths.items() if c < at))
+                line += ("  " if line and line[-1] != " " else "") + name
+            if rows[r]:
+                lines.append(line)
+        assert table.done() == lines
+
+
+def test_render_trees_by_brute_force():
+    """Random trees of blocks, inline elements and hidden ones against a recursive reading of them."""
+    rng = np.random.RandomState(4)
+    apart, blocks, inline = ("p", "h2", "figure"), ("div", "section"), ("b", "span")
+
+    def tree(depth):
+        kids = [f"w{rng.randint(99)}" if depth == 0 or rng.rand() < 0.4 else tree(depth - 1) for _ in range(rng.randint(0, 4))]
+        name = str(rng.choice(["div", "section", "b", "span", "figure"] if depth else ["p", "h2", "b"]))
+        return name, str(rng.choice(["", "", "", " hidden", " style='visibility:hidden'", " style='visibility:visible'"])), kids
+
+    def source(node):
+        return node + " " if isinstance(node, str) else f"<{node[0]}{node[1]}>{' '.join(map(source, node[2]))}</{node[0]}> "
+
+    def marks(node, seen):
+        if isinstance(node, str):
+            return [node] if seen else []
+        name, own, kids = node
+        if own == " hidden":
+            return []
+        seen = seen if "visibility" not in own else "visible" in own
+        inner = [m for k in kids for m in marks(k, seen)]
+        edge = [2] if name in apart else [1] if name in blocks else []
+        return edge + inner + edge
+
+    for _ in range(300):
+        nodes = [tree(3) for _ in range(rng.randint(1, 4))]
+        lines, gap = [], 2
+        for mark in (m for n in nodes for m in marks(n, True)):
+            if isinstance(mark, int):
+                gap = max(gap, mark) if lines else gap
+            else:
+                if not lines:
+                    lines.append(mark)
+                elif gap:
+                    lines += [""] * (gap - 1) + [mark]
+                else:
+                    lines[-1] += " " + mark
+                gap = 0
+        assert render("".join(map(source, nodes))) == "\n".join(lines), "".join(map(source, nodes))
