@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
-from ..schema import BUCKETS, DISCARDED, LINE, PARA, PART
+from ..schema import BACKEND, BUCKETS, DISCARDED, LINE, PARA, PART, VERSION
 from . import grouping
 
 KEY = ["doc_id", "page_idx"]
@@ -89,6 +89,19 @@ def pages(blocks: DataFrame, sizes: DataFrame, compat: str = "reference", settle
     return sizes.join(found, key, "left").select(*key, F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.coalesce("para_blocks", empty).alias("para_blocks"), F.coalesce("discarded_blocks", empty).alias("discarded_blocks"))
 
 
+def documents(pages: DataFrame) -> DataFrame:
+    """doc_id, _backend, _version_name, pdf_info: each document's pages in order, with the format's stamp."""
+    page = F.struct("page_idx", F.struct("para_blocks", "discarded_blocks", F.array("width", "height").alias("page_size"), "page_idx").alias("page"))
+    ordered = F.transform(F.array_sort(F.collect_list(page), lambda a, b: F.when(a["page_idx"] < b["page_idx"], -1).when(a["page_idx"] > b["page_idx"], 1).otherwise(0)), lambda p: p["page"])
+    return pages.groupBy("doc_id").agg(ordered.alias("pdf_info")).select("doc_id", F.lit(BACKEND).alias("_backend"), F.lit(VERSION).alias("_version_name"), "pdf_info")
+
+
+def bucket(pages: DataFrame, kind: str) -> DataFrame:
+    """doc_id, page_idx, para: the paragraphs of a type, discarded ones too."""
+    both = pages.select("doc_id", "page_idx", F.explode(F.concat("para_blocks", "discarded_blocks")).alias("para"))
+    return both.filter(F.col("para.type") == kind)
+
+
 def total_metrics(metrics: DataFrame) -> DataFrame:
     """doc_id, pages, and the milliseconds of each phase over the pages that were recorded."""
     return metrics.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(f"{p}_ms").alias(f"{p}_ms") for p in PHASES], F.sum(sum((F.col(f"{p}_ms") for p in PHASES), F.lit(0))).alias("total_ms"))

@@ -130,7 +130,7 @@ def merge_document(tables: list[Table]) -> list[Table]:
     return tables
 
 
-SCHEMA = "doc_id long, page_idx long, is_first boolean, is_last boolean, html string, merged_into long, crossed_footnotes array<string>"
+SCHEMA = "page_idx long, is_first boolean, is_last boolean, html string, merged_into long, crossed_footnotes array<string>"
 
 
 def merge_tables(edges: DataFrame) -> DataFrame:
@@ -148,4 +148,4 @@ def merge_tables(edges: DataFrame) -> DataFrame:
         return out
 
     wanted = edges.filter("is_first OR is_last").select("doc_id", "page_idx", "is_first", "is_last", F.col("x0").cast("double"), F.col("x1").cast("double"), "html", "captions", "footnotes")
-    return wanted.groupBy("doc_id").applyInPandas(fold, SCHEMA)
+    return wanted.groupBy("doc_id").applyInPandas(fold, f"doc_id {dict(edges.dtypes)['doc_id']}, {SCHEMA}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,15 +24,16 @@ class Results:
     pages: DataFrame
     markdown: DataFrame
     content_list: DataFrame
-    errors: DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df computed once, in the folder that the cluster shares, so that what follows asks no model again and plans stay
-    small; a folder of our own only where none is set."""
+    small. Where no folder is set a local session gets one of its own; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/checkpoints/pageloom")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
     return df.checkpoint()
 
 
@@ -43,7 +46,8 @@ def register(spark: SparkSession) -> None:
 
 def extracted(page_images: DataFrame, predictor: Callable[[], Predictor], config: Config = Config()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """Blocks with contents, and errors: the layout of each page first, then the content of each block that needs one.
-    page_images: doc_id (long), page_idx, image. A page whose layout fails has no blocks."""
+    page_images: doc_id, page_idx, image (a file, which models are shown whole). A page whose layout fails has no blocks.
+    runs.run() starts from pixels and shows the model each block's crop."""
     key = ["doc_id", "page_idx"]
     asked = page_images.select(*key, "image", F.lit(PROMPTS["layout"]).alias("prompt"))
     found = settled(predicted(asked, predictor, key, config.request_concurrency, config.retries))
@@ -64,7 +68,7 @@ def rendered(blocks: DataFrame, sizes: DataFrame, config: Config = Config(), com
     if config.merge_tables and config.tables:
         pages = with_merged_tables(pages)
     style = render.Style(config.formulas, config.tables, images)
-    return Results(done, pages, render.document_markdown(pages, style=style), render.content_list(pages, style), blocks.limit(0).select("doc_id"))
+    return Results(done, pages, render.document_markdown(pages, style=style), render.content_list(pages, style))
 
 
 def with_merged_tables(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ LINE = _struct(spans=T.ArrayType(SPAN))
 PART = _struct(type=_S, index=_L, bbox=BOX, lines=T.ArrayType(LINE))
 PARA = _struct(type=_S, sub_type=_S, guess_lang=_S, level=_I, index=_L, bbox=BOX, lines=T.ArrayType(LINE), blocks=T.ArrayType(PART))
 PAGE = _struct(doc_id=_L, page_idx=_L, width=_I, height=_I, para_blocks=T.ArrayType(PARA), discarded_blocks=T.ArrayType(PARA))
-PAGE_IMAGE = _struct(doc_id=_S, page_idx=_I, width=_I, height=_I, scale=_D, image=T.BinaryType())
+#: Pixels of a page, and its size in points.
+PAGE_IMAGE = _struct(doc_id=_S, page_idx=_I, width=_I, height=_I, scale=_D, page_width=_D, page_height=_D, image=T.BinaryType(), render_ms=_L)
 PAGE_METRICS = _struct(doc_id=_L, page_idx=_L, render_ms=_L, encode_ms=_L, layout_ms=_L, crop_ms=_L, content_ms=_L, image_save_ms=_L, post_process_ms=_L)
 VERSION = "2.7.1"
 BACKEND = "vlm"

@@ -3,7 +3,10 @@ assumed; what follows from sizes alone is SQL."""
 
 from __future__ import annotations
 
+import base64
+import math
 import struct
+import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
@@ -13,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.boxes import LEAST_EDGE, LONGEST_RATIO
 from ..schema import PAGE_IMAGE
 
 LONGEST_SIDE = 3500
@@ -55,8 +59,11 @@ def pages(docs: DataFrame, rasteriser: Callable[[], Rasteriser], dpi: int = 200,
                 end = len(sizes) - 1 if last is None or last < 0 else min(last, len(sizes) - 1)
                 for page in range(first, end + 1):
                     scale = min(dpi / 72, LONGEST_SIDE / max(sizes[page]))
+                    began = time.monotonic()
                     image = own.render(content, page, scale)
-                    yield pd.DataFrame({"doc_id": [doc_id], "page_idx": [page], "width": [image.shape[1]], "height": [image.shape[0]], "scale": [scale], "image": [image.tobytes()]})
+                    took = round((time.monotonic() - began) * 1000)
+                    (across, down) = sizes[page]
+                    yield pd.DataFrame({"doc_id": [doc_id], "page_idx": [page], "width": [image.shape[1]], "height": [image.shape[0]], "scale": [scale], "page_width": [across], "page_height": [down], "image": [image.tobytes()], "render_ms": [took]})
 
     return docs.select("doc_id", "content").mapInPandas(run, PAGE_IMAGE)
 
@@ -80,6 +87,21 @@ def padded(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return out
 
 
+def fitted(image: np.ndarray) -> np.ndarray:
+    """image as boxes.sized_for_model() says: in the middle of a white one if it is too long, enlarged if too small."""
+    height, width = image.shape[:2]
+    if max(width, height) / min(width, height) > LONGEST_RATIO:
+        image = padded(image, math.ceil(height / LONGEST_RATIO) if width < height else width, math.ceil(width / LONGEST_RATIO) if width >= height else height)
+    height, width = image.shape[:2]
+    factor = LEAST_EDGE / min(width, height)
+    return stretched(image, math.ceil(width * factor), math.ceil(height * factor)) if factor > 1 else image
+
+
+def data_uri(image: bytes, media: str = "image/png") -> str:
+    """A file as text, as servers take it."""
+    return f"data:{media};base64,{base64.b64encode(image).decode()}"
+
+
 def png(image: np.ndarray) -> bytes:
     """An image file of height by width by 3 bytes."""
     height, width, _ = image.shape

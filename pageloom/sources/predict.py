@@ -14,6 +14,8 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .files import data_uri
+
 # What the models were trained to be asked with.
 SYSTEM = "You are a helpful assistant."
 SAMPLING = {"temperature": 0.0, "top_p": 0.01, "top_k": 1, "presence_penalty": 0.0, "frequency_penalty": 0.0, "repetition_penalty": 1.0, "max_tokens": 4096}
@@ -57,8 +59,11 @@ def without_end(answer: str, token: str) -> str:
 class Chat:
     """A predictor over an HTTP server of chat completions."""
 
-    def __init__(self, url: str, model: str | None = None, key: str | None = None, timeout: float = 600, end_token: str = "<|im_end|>", media: str = "image/png", **sampling: float) -> None:
+    def __init__(self, url: str, model: str | None = None, key: str | None = None, timeout: float = 600, end_token: str = "<|im_end|>", media: str = "image/png", system: str | None = None, by_prompt: dict[str, dict[str, float]] | None = None, **sampling: float) -> None:
+        """system: what single calls are told first, predict.SYSTEM as a rule; batches are told nothing. by_prompt: sampling of
+        requests with that prompt."""
         self.url, self.timeout, self.end_token, self.media, self.sampling = url.rstrip("/"), timeout, end_token, media, SAMPLING | sampling
+        self.system, self.by_prompt = system, by_prompt or {}
         self.headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
         self.model = model or self.models()[0]
 
@@ -79,12 +84,11 @@ class Chat:
         return found
 
     def body(self, image: bytes | None, prompt: str) -> dict:
-        import base64
-
         content: list[dict] = [{"type": "text", "text": prompt}]
         if image is not None:
-            content.insert(0, {"type": "image_url", "image_url": {"url": f"data:{self.media};base64,{base64.b64encode(image).decode()}", "detail": "high"}})
-        return {"model": self.model, "messages": [{"role": "system", "content": SYSTEM}, {"role": "user", "content": content}], "skip_special_tokens": False, "vllm_xargs": {"no_repeat_ngram_size": NO_REPEAT}, **self.sampling}
+            content.insert(0, {"type": "image_url", "image_url": {"url": data_uri(image, self.media), "detail": "high"}})
+        told = [{"role": "system", "content": self.system}] if self.system else []
+        return {"model": self.model, "messages": [*told, {"role": "user", "content": content}], "skip_special_tokens": False, "vllm_xargs": {"no_repeat_ngram_size": NO_REPEAT}, **self.sampling, **self.by_prompt.get(prompt, {})}
 
     def __call__(self, image: bytes | None, prompt: str) -> str:
         choices = self._open("/v1/chat/completions", self.body(image, prompt)).get("choices") or []
