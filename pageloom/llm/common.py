@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 from pyspark import SparkContext
@@ -145,6 +147,21 @@ def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rest.unionByName(maybe.join(keys, key, "left_anti").select(*rows.columns))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a Python worker, which Spark uses again, gives the memory that is free back to the system."""
+
+    def outer(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+    return outer
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, so that a batch of very long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

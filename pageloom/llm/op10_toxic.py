@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of, small_batches, table, text_of
+from .common import crc_of, small_batches, table, text_of, tidy
 
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 400, 1600, 12_000
 THRESHOLD = 0.7
@@ -302,6 +302,7 @@ def with_scores(docs: DataFrame, field: Field | None, score: str = "score", foun
     small_batches(spark)
     shared = spark.sparkContext.broadcast(field)  # SLOTS weights
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

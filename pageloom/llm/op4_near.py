@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, dropped, small_batches, table, text_of, with_keys, written
+from .common import bounded, dropped, small_batches, table, text_of, tidy, with_keys, written
 
 BAND, MISS = 3, 1e-5
 #: Buckets of more than LARGE classes of several components get other hubs while one in ENOUGH of the pairs is a link.
@@ -104,6 +104,7 @@ def sign(docs: DataFrame, width: int, bands: int) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -130,6 +131,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     ids = classes.select("cid", F.col("first_id").alias("doc_id"))
     rows = with_keys(docs.select("doc_id", text_of().alias("text")), ids, "doc_id").select("cid", "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -147,6 +149,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked (whether their full sets are similar enough) of each pair."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -186,12 +189,20 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 16) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of very long sets at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """hub, id, diff (the shingles that one of the two has and the other lacks, sorted) of each pair hub, id."""
     both = pairs.join(sets.select("id", F.col("shingles").alias("own")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             out = [np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), True).tobytes() for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["hub", "id", "diff"])
 
@@ -203,15 +214,15 @@ def exploded(diffs: DataFrame, often: DataFrame | None = None) -> DataFrame:
     """hub, id, s of each shingle of the differences, but for those that are frequent in their hub's."""
     rows = diffs.select("hub", "id", "diff", F.lit(None).cast("array<long>").alias("often")) if often is None else diffs.join(bounded(often), "hub", "left").select("hub", "id", "diff", "often")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             values = []
             for diff, late in zip(batch.column(2), batch.column(3), strict=True):
                 own = np.frombuffer(diff.as_buffer(), np.int64)
                 values.append(own[~np.isin(own, late.values.to_numpy())] if late.is_valid else own)
-            if values:
-                owner = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
-                yield pa.record_batch([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(values))], names=["hub", "id", "s"])
+            owner = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            yield pa.record_batch([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(values))], names=["hub", "id", "s"])
 
     kind = dict(diffs.dtypes)["id"]
     return rows.mapInArrow(run, f"hub {kind}, id {kind}, s long")
@@ -234,11 +245,12 @@ def first_shingles(diffs: DataFrame, percent: int) -> DataFrame:
     """hub, s, at, id, label, n, d, weight: the beginning of each difference of d shingles, as far as a class of another
     label that is similar enough must have one of them too. Shingles that no other class has come first and are left out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, shingles, places = [], [], []
+        for batch in parts_of(batches):
+            shingles, places = [], []
             parts = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(7), batch.column(8), batch.column(9), strict=True)
-            for i, (d, weight, least, rare, often, diff) in enumerate(parts):
+            for d, weight, least, rare, often, diff in parts:
                 own = rare.values.to_numpy() if rare.is_valid else np.zeros(0, np.int64)
                 if often.is_valid:
                     late = often.values.to_numpy()
@@ -246,10 +258,9 @@ def first_shingles(diffs: DataFrame, percent: int) -> DataFrame:
                 alone = d - len(own)
                 own = own[: max(0, d - max(1, -(-(weight + least) // (2 * (100 + percent)))) + 1 - alone)]
                 shingles.append(own)
-                row += [i] * len(own)
                 places.append(np.arange(alone, alone + len(own)))
-            if row:
-                rows = pa.array(row)
+            rows = pa.array(np.repeat(np.arange(len(shingles)), [len(x) for x in shingles]))
+            if len(rows):
                 columns = [batch.column(0).take(rows), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(places)), *[batch.column(k).take(rows) for k in (1, 2, 3, 4, 5)]]
                 yield pa.record_batch(columns, names=["hub", "s", "at", "id", "label", "n", "d", "weight"])
 

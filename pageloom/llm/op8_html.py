@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidy
 
 #: A quote opens a quoted value after an equals sign, and is a character like others anywhere else.
 VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s<>]++)"
@@ -443,6 +443,7 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([render(x) for x in batch.column(1).to_pylist()], pa.string())], names=["page_id", "text"])

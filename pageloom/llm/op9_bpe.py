@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import small_batches, table, text_of, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encoded pre-tokens that a worker remembers before it starts anew.
@@ -114,6 +114,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     pieces = read_ranks(path)
     shared = spark.sparkContext.broadcast((sentencepiece_model(pieces), pieces))  # as large as the vocabulary file
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value, pattern)
         for batch in batches:
@@ -129,6 +130,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast([chars_of(piece) for piece in read_ranks(path)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = list(map(bytes_of, shared.value))
         for batch in batches:
