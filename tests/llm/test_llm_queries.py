@@ -466,3 +466,21 @@ def test_query_against_sql(spark, name):
     assert sorted(got.columns) == columns
     text = lambda v: str(int(v)) if isinstance(v, float) and v == v else str(v)
     assert sorted(tuple(map(text, r)) for r in got.select(columns).toPandas().itertuples(index=False)) == sorted(tuple(map(text, r)) for r in wanted[columns].itertuples(index=False))
+
+
+def test_stages_leave_other_results_and_columns_alone(spark):
+    """Nulls, blanks, copies and clashing names in every stage, and a result held while a run deletes its own tables."""
+    rows = spark.createDataFrame(ODD, SCHEMA).select("*", *[F.lit(f"own {c}").alias(c) for c in ("_words", "_id", "_size", "_copies", "_toxic_score", "size", "key")])
+    held = op2_mix.mix(spark.createDataFrame(ODD, SCHEMA))
+    out = rows
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = common.written(stage(spark, out, DATA))
+        assert out.columns == rows.columns and {r._words for r in out.collect()} == {"own _words"}, name
+    none = rows.limit(0)
+    assert corpus_pipeline.STAGES[3][1](spark, none, DATA).count() == corpus_pipeline.STAGES[1][1](spark, none, DATA).count() == 0
+    with common.Tables() as own:
+        mine = common.written(rows.limit(2))
+        own.forget(spark)
+    assert not own.paths and held.count() == len(ODD)
+    with pytest.raises(Exception, match="(?i)path|file"):
+        mine.count()
