@@ -13,6 +13,7 @@ Words are taken whole, however long the text; repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -43,16 +44,26 @@ def keys_of(core: bytes) -> list[bytes]:
     return [b"w" + core, *(b"p" + text[:n].encode() for n in PREFIXES if len(text) > n)]
 
 
+_DIGIT = re.compile(rb"[0-9]").search
+_END, _WORD, _BEGIN, _SHAPE, _BEFORE, _AFTER = map(zlib.crc32, (b"s", b"w", b"p", b"h", b"<", b">"))
+
+
 def features(word: bytes) -> list[int]:
-    """OWN slots of the word's own features (the last one repeated), then of it as the next word's and as the previous
-    word's neighbour."""
-    core = word.strip(EDGES) or word
-    shape = b"".join((b"d" if any(48 <= c <= 57 for c in core) else b"", b"u" if core != word else b"", b"x" if any(c > 127 for c in core) else b"", b"%d" % min(len(core), 12)))
-    own = [b"s" + core[-4:], *keys_of(core)]
-    own += [b"h" + shape] * (OWN - len(own))
-    slots = [zlib.crc32(p) % (SLOTS - 1) + 1 for p in (*own, b"<" + core, b">" + core)]
-    seen = set()  # slot 0 stays at nothing, for what repeats
-    return [0 if k < OWN and (x in seen or seen.add(x)) else x for k, x in enumerate(slots)]
+    """OWN slots of the word's own features, then of it as the next word's and as the previous word's neighbour. Those of
+    its own that repeat, or that it lacks, have slot 0, which stays at nothing."""
+    crc, core = zlib.crc32, word.strip(EDGES) or word
+    own = [crc(core[-4:], _END), crc(core, _WORD)]
+    if core.isascii():
+        size, other = len(core), b""
+        own += [crc(core[:n], _BEGIN) for n in PREFIXES if n < size]
+    else:
+        text, other = core.decode("utf-8", "replace"), b"x"
+        own += [crc(text[:n].encode(), _BEGIN) for n in PREFIXES if n < len(text)]
+    own.append(crc(b"%b%b%b%d" % (b"d" if _DIGIT(core) else b"", b"u" if core != word else b"", other, min(len(core), 12)), _SHAPE))
+    own = [x % (SLOTS - 1) + 1 for x in own]
+    if len(set(own)) < len(own):
+        own = [0 if x in own[:k] else x for k, x in enumerate(own)]
+    return [*own, *[0] * (OWN - len(own)), crc(core, _BEFORE) % (SLOTS - 1) + 1, crc(core, _AFTER) % (SLOTS - 1) + 1]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -248,12 +259,11 @@ class Tagger:
         self.clear()
 
     def clear(self) -> None:
-        weights, new = self.field.weights, []
+        new: list[int] = []
 
         class Known(dict):
             def __missing__(known, word: bytes) -> int:  # noqa: N805
-                w = weights[features(word)]
-                new.append((float(w[:OWN].sum()), float(w[OWN]), float(w[OWN + 1])))
+                new.extend(features(word))
                 known[word] = n = len(known)
                 return n
 
@@ -266,7 +276,8 @@ class Tagger:
         look = self.known.__getitem__
         token = np.fromiter((i for d in docs for i in map(look, d)), np.int32, int(lengths.sum()))
         if self.new:
-            self.values = np.concatenate([self.values, np.array(self.new, np.float32)])
+            w = self.field.weights[np.array(self.new, np.int32).reshape(-1, OWN + 2)]
+            self.values = np.concatenate([self.values, np.stack([w[:, :OWN].sum(1), w[:, OWN], w[:, OWN + 1]], 1)])
             self.new.clear()
         if not len(token):
             return np.zeros(0), lengths
@@ -281,8 +292,6 @@ class Tagger:
 
 def spans(text: str, wanted: np.ndarray) -> list[dict]:
     """Offsets of words in code points, ends exclusive, neighbours joined."""
-    import re
-
     places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     out: list[dict] = []
     for i in np.flatnonzero(wanted):

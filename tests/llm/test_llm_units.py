@@ -1,6 +1,7 @@
 """Parts of the operators that need no session, against brute force."""
 
 import base64
+import zlib
 
 import numpy as np
 import pytest
@@ -331,3 +332,22 @@ def test_render_trees_by_brute_force():
                     lines[-1] += " " + mark
                 gap = 0
         assert render("".join(map(source, nodes))) == "\n".join(lines), "".join(map(source, nodes))
+
+
+def test_features_are_checksums_of_the_words_parts():
+    def plain(word):
+        core = word.strip(op10_toxic.EDGES) or word
+        shape = (b"d" if any(48 <= c <= 57 for c in core) else b"") + (b"u" if core != word else b"") + (b"x" if any(c > 127 for c in core) else b"") + b"%d" % min(len(core), 12)
+        parts = [b"s" + core[-4:], *op10_toxic.keys_of(core), b"h" + shape]
+        slots = [zlib.crc32(p) % (op10_toxic.SLOTS - 1) + 1 for p in (*parts, b"<" + core, b">" + core)]
+        own = [0 if x in slots[:k] else x for k, x in enumerate(slots[:-2])]
+        return own + [0] * (op10_toxic.OWN - len(own)) + slots[-2:]
+
+    words = [b"", b"a", b"...", b"(zonk)", b"a1b2", b"abcdefghijklmnop", "naïveté,".encode(), "日本語の文章です".encode(), b"\xff\xfe\xfd", b"x" * 100_000]
+    for word in words:
+        assert op10_toxic.features(word) == plain(word), word
+    # Values of batches of words are those of single ones.
+    field = op10_toxic.Field(np.linspace(-1, 1, op10_toxic.SLOTS, dtype=np.float32), -4.0, np.full((2, 2), 0.5), np.zeros(5))
+    tagger = op10_toxic.Tagger(field)
+    tagger.marginals([words, words])
+    assert [tuple(v) for v in tagger.values] == [(w[: op10_toxic.OWN].sum(), w[-2], w[-1]) for w in (field.weights[plain(x)] for x in words)]
