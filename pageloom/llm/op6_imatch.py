@@ -89,7 +89,6 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, buckets: Column, siz
         held = F.filter(band, lambda t: F.shiftrightunsigned(t, 50 + 2 * k).bitwiseAND(F.lit(3)) != 0)
         return F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(held), 40)), 6, "0"))
 
-
     def entries(lv: Column) -> Column:
         def entry(k: Column) -> Column:
             own_terms = F.filter(some, lambda t: part(t, lv) == k)
@@ -137,10 +136,11 @@ def with_next(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
         is_first = F.col("doc_id").eqNullSafe(F.get(c["bounds"], F.col("bucket")))
         own, copy = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("is_copy")), F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(bounds))).alias("to"), F.lit(True).alias("is_copy"))
         both = both.withColumn("place", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))))
-    inside = Window.partitionBy("place.to").orderBy("place.is_copy", F.col("doc_id").asc_nulls_first(), "tie")
-    for c in columns:
-        both = both.withColumn(f"next_{c}", F.lead(c).over(inside))
-    return both.filter("NOT place.is_copy").drop("group", "bucket", "place")
+    # Plain columns: a field of a struct would be named anew by each window, and the texts shuffled for each.
+    both = both.withColumns({"to": F.col("place.to"), "is_copy": F.col("place.is_copy")}).drop("group", "bucket", "place")
+    inside = Window.partitionBy("to").orderBy("is_copy", F.col("doc_id").asc_nulls_first(), "tie")
+    both = both.withColumns({f"next_{c}": F.lead(c).over(inside) for c in columns})
+    return both.filter("NOT is_copy").drop("to", "is_copy")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
