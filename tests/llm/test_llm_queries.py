@@ -3,6 +3,7 @@ force, and the registered queries on the smallest driver tables."""
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -163,6 +164,21 @@ def test_rare_words_are_joined(odd, monkeypatch):
     assert sorted((r.doc_id, round(r.base_score, 6), r.n_known) for r in op3_lm.lm_scores(odd).collect()) == whole
 
 
+def test_language_model_learns_from_all_training_texts(spark, monkeypatch):
+    """Texts that nothing foretells: those of training are all known to the tables, and all their decisions teach weights."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(300)]
+    models, taught, score, newton = [], [], op3_lm.score_rows, getattr(op3_lm, "newton", None)
+    monkeypatch.setattr(op3_lm, "score_rows", lambda rows, model, head: models.append(model) or score(rows, model, head))
+    monkeypatch.setattr(op3_lm, "newton", lambda x, gate, n: taught.append(n.sum()) or newton(x, gate, n), raising=False)
+    got = op3_lm.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert max(r.bits_per_byte for r in got if not r.held_out) < min(r.bits_per_byte for r in got if r.held_out) - 1
+    code, wanted = models[0].code, 0
+    for text in (texts[r.doc_id] for r in got if not r.held_out):
+        wanted += code.length.take(code.paired(op3_lm.laid_out([text.encode()])[0])).sum()
+    assert taught == [wanted]
+
+
 def components(docs, width, percent):
     sets = {}
     for i, text, *_ in docs:

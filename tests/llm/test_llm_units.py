@@ -230,6 +230,78 @@ def test_language_model_counts_beyond_16_bits():
     assert (got.ravel() == wanted).all()
 
 
+def _code_of(texts):
+    """A code with classes of two symbols, of the texts' own pairs."""
+    pairs = np.zeros((257, 257), np.int64)
+    for text in texts:
+        row = [256, *text, 256]
+        np.add.at(pairs, (row[:-1], row[1:]), 1000)
+    deep = op3_lm.frequent_pairs(pairs)
+    deep_pairs = np.zeros((len(deep), 257), np.int64)
+    for text in texts:
+        row = [256, *text, 256]
+        for a, b, c in zip(row, row[1:], row[2:]):
+            for k in np.flatnonzero(deep == a * 258 + b):
+                deep_pairs[k, c] += 1000
+    return pairs, op3_lm.Code(pairs, deep, deep_pairs)
+
+
+def test_language_model_of_deep_classes():
+    """Chances add up to one after each text; windows give what whole texts give; frequent symbols take fewer decisions."""
+    texts = [b"the cat and the hat", b"that other cat", b""]
+    pairs, code = _code_of(texts)
+    rng = np.random.RandomState(8)
+    tables = [op3_lm.quantised(rng.randint(0, 9, 2 << bits), little) for _, bits, little in op3_lm.CONTEXTS]
+    for start in (b"", b"t", b"the ca", b"zz"):
+        symbols, total = op3_lm.laid_out([start])[0], 0.0
+        for s in range(257):
+            row = np.append(symbols[:-1], s).astype(np.uint16)
+            _, bit, slots = code.decisions(code.paired(row)[-1:], [h[-1:] for h in op3_lm.context_hashes(row)])
+            raw = [t.take(x) for t, x in zip(tables, slots, strict=True)]
+            z = sum(0.4 * op3_lm.OF_BYTE[x] for x in raw)
+            total += float(np.prod(1 / (1 + np.exp(-np.where(bit == 1, z, -z)))))
+        assert total == pytest.approx(1, abs=1e-4)
+    symbols, starts = op3_lm.laid_out([texts[0]])
+    windows, parts = op3_lm.Windows(texts[0], code.paired), []
+    while windows.at <= len(texts[0]):
+        parts.append(windows.take(int(rng.randint(1, 5)))[0])
+    assert (np.concatenate(parts) == code.paired(symbols)[starts[0] :]).all()
+    assert code.length.take(code.paired(symbols)).sum() < op3_lm.Code(pairs).length.take(op3_lm.with_before(symbols)).sum()
+
+
+def test_language_model_outcomes():
+    """Each decision's gate and what the contexts said of what came, by what was counted before its piece."""
+    texts = [b"the cat and the hat", b"", b"the cat and the hat", b"THE hat " * 9000]
+    _, code = _code_of(texts[:3])
+    sizes = (13, 14, 14)
+    learner, counts, wanted = op3_lm.Learner(code, sizes), [np.zeros(2 << bits, np.int64) for bits in sizes], 0
+    for text in texts:
+        learner.add([text])
+        windows = op3_lm.Windows(text, code.paired)
+        while windows.at <= len(text):
+            _, bit, slots = code.decisions(*windows.take(op3_lm.AT_ONCE - 1), sizes)
+            said, evidence = [], []
+            for table, slot, (_, _, little) in zip(counts, slots, op3_lm.CONTEXTS, strict=True):
+                came, other = table[2 * slot + bit], table[2 * slot + 1 - bit]
+                said.append(np.log((came + little) / (other + little)))
+                evidence.append(np.digitize(came + other, op3_lm.EVIDENCE))
+            for table, slot in zip(counts, slots, strict=True):
+                np.add.at(table, 2 * slot + bit, 1)
+            nearest = [np.abs(op3_lm.COARSE[:, None] - x).argmin(0) for x in said]
+            wide = len(op3_lm.COARSE)
+            number = (evidence[1] * 4 + evidence[2]) * wide**3 + sum(x * wide**k for k, x in enumerate(nearest))
+            wanted = wanted + np.bincount(number, minlength=len(learner.outcomes))
+    for table, own in zip(learner.tables, counts, strict=True):
+        whole = table.counts.astype(np.int64)
+        for i, n in table.beyond.items():
+            whole[i] += n
+        assert (whole == own).all()
+    assert learner.outcomes.sum() == wanted.sum()
+    assert np.abs(learner.outcomes - wanted).sum() < 0.1 * wanted.sum()  # large counts are told apart by classes only
+    got, best = op3_lm.weights_of(learner.outcomes), op3_lm.weights_of(wanted)
+    assert np.abs(got - best).max() < 0.2
+
+
 def test_language_model_fits_its_first_weights():
     rng = np.random.RandomState(7)
     tables = [op3_lm.quantised(rng.randint(0, 9, 2 << bits), little) for _, bits, little in op3_lm.CONTEXTS]
