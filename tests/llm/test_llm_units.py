@@ -302,6 +302,22 @@ def test_language_model_outcomes():
     assert np.abs(got - best).max() < 0.2
 
 
+@pytest.mark.parametrize("at_once", [3, 40, 1 << 20])
+def test_language_model_words(monkeypatch, at_once):
+    """Each word one key and each key one word, in text order, wherever texts are cut and however long words are."""
+    monkeypatch.setattr(op3_lm, "WORDS_AT_ONCE", at_once)
+    rng, of_word = np.random.RandomState(9), {}
+    some = ["a", "B", "b", " ", "\n", "\x0b", "\x1c", "\x85", "é", "\t", "", "x" * 70, "Q" * 64, "q" * 65, "\x00"]
+    for _ in range(300):
+        docs = ["".join(rng.choice(some, rng.randint(0, 12))).encode() for _ in range(rng.randint(0, 6))]
+        keys, lengths = op3_lm.word_keys(docs)
+        words = [w for d in docs for w in d.lower().split()]
+        assert lengths.tolist() == [len(d.split()) for d in docs] and len(keys) == len(words)
+        for word, key in zip(words, keys.tolist(), strict=True):
+            assert of_word.setdefault(word, key) == key
+    assert len(set(of_word.values())) == len(of_word) > 100
+
+
 def test_language_model_fits_its_first_weights():
     rng = np.random.RandomState(7)
     tables = [op3_lm.quantised(rng.randint(0, 9, 2 << bits), little) for _, bits, little in op3_lm.CONTEXTS]
