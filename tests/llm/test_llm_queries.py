@@ -179,6 +179,17 @@ def test_language_model_learns_from_all_training_texts(spark, monkeypatch):
     assert taught == [wanted]
 
 
+def test_language_model_of_small_splits(spark):
+    """Many small splits are learned from together, so that first weights are no worse."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+
+    def held(df):
+        got = [r for r in op3_lm.lm_scores(df).collect() if r.held_out]
+        return sum(r.bits for r in got) / sum(r.bits / r.bits_per_byte for r in got)
+
+    assert held(rows.repartition(16)) == pytest.approx(held(rows.coalesce(1)), rel=0.005)
+
+
 def components(docs, width, percent):
     sets = {}
     for i, text, *_ in docs:

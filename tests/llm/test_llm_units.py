@@ -279,7 +279,7 @@ def test_language_model_outcomes():
         learner.add([text])
         windows = op3_lm.Windows(text, code.paired)
         while windows.at <= len(text):
-            _, bit, slots = code.decisions(*windows.take(op3_lm.AT_ONCE - 1), sizes)
+            _, bit, slots = code.decisions(*windows.take(op3_lm.LEARN_AT_ONCE - 1), sizes)
             said, evidence = [], []
             for table, slot, (_, _, little) in zip(counts, slots, op3_lm.CONTEXTS, strict=True):
                 came, other = table[2 * slot + bit], table[2 * slot + 1 - bit]
